@@ -96,16 +96,33 @@ class Embedding:
         return out
 
 
-def edit_distance(a: list[int], b: list[int], most: int) -> int:
-    """Word edits between a and b, or most + 1 if there are more."""
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        left, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            left, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, left + (x != y or x < 0))
-        if min(row) > most:
-            return most + 1
-    return row[-1]
+def within_edits(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """Whether rows of a and b, words of equal length, are at most ``most`` word edits apart; a negative word equals none.
+
+    A band of the distance table, 2 * most + 1 wide, for all rows at once.
+    """
+    n, width, size = len(a), 2 * most + 1, a.shape[1]
+    far = most + 1
+    row = np.full((n, width), far, np.int64)  # row[:, d] is the cell (i, i + d - most)
+    for d in range(most, width):
+        row[:, d] = d - most
+    for i in range(1, size + 1):
+        new = np.full((n, width), far, np.int64)
+        for d in range(width):
+            j = i + d - most
+            if not 0 <= j <= size:
+                continue
+            best = row[:, d + 1] + 1 if d + 1 < width else np.full(n, far)
+            if j == 0:
+                new[:, d] = np.minimum(best, i)
+                continue
+            x, y = a[:, i - 1], b[:, j - 1]
+            best = np.minimum(best, row[:, d] + ((x != y) | (x < 0)))
+            if d:
+                best = np.minimum(best, new[:, d - 1] + 1)
+            new[:, d] = np.minimum(best, far)
+        row = new
+    return row[:, most] <= most
 
 
 class Index:
@@ -133,30 +150,28 @@ class Index:
         starts = _windows(words.text, s.window)
         outside = np.concatenate(([0], np.cumsum(ids < 0)))
         starts = starts[outside[starts + s.window] - outside[starts] <= s.edits]
-        found: set[tuple[int, int]] = set()
+        pairs = []
         for signature, (keys, order) in zip(self.embedding.signatures(ids, starts), self.table, strict=True):
             lo, hi = np.searchsorted(keys, signature, "left"), np.searchsorted(keys, signature, "right")
             hit = np.flatnonzero(hi > lo)
             many = hi[hit] - lo[hit]
-            mine = np.repeat(starts[hit], many)
             theirs = order[np.repeat(lo[hit], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
-            for k in range(0, len(mine), 100_000):
-                found |= self._verified(ids, words.text, mine[k : k + 100_000], theirs[k : k + 100_000])
-        pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
-        return pairs[:, 0], pairs[:, 1]
-
-    def _verified(self, ids: np.ndarray, text: np.ndarray, mine: np.ndarray, theirs: np.ndarray) -> set[tuple[int, int]]:
+            pairs.append(np.repeat(starts[hit], many) * len(order) + theirs)
+        if not pairs:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        candidates = np.unique(np.concatenate(pairs))
+        found = [np.zeros((0, 2), np.int64)]
+        for k in range(0, len(candidates), 100_000):
+            mine, theirs = np.divmod(candidates[k : k + 100_000], len(self.starts))
+            near = self._near(ids, mine, theirs)
+            found.append(np.stack([words.text[mine[near]], self.owner[theirs[near]]], axis=1))
+        found = np.unique(np.concatenate(found), axis=0)
+        return found[:, 0], found[:, 1]
+
+    def _near(self, ids: np.ndarray, mine: np.ndarray, theirs: np.ndarray) -> np.ndarray:
         span = np.arange(self.s.window)
         a, b = ids[mine[:, None] + span], self.ids[self.starts[theirs][:, None] + span]
-        place, item = text[mine], self.owner[theirs]
-        near = (a == b).all(axis=1)
-        found = set(zip(place[near].tolist(), item[near].tolist(), strict=True))
-        if self.s.edits:
-            for i in np.flatnonzero(~near):
-                pair = (int(place[i]), int(item[i]))
-                if pair not in found and edit_distance(a[i].tolist(), b[i].tolist(), self.s.edits) <= self.s.edits:
-                    found.add(pair)
-        return found
+        return within_edits(a, b, self.s.edits) if self.s.edits else (a == b).all(axis=1)
 
 
 def _windows(text: np.ndarray, size: int) -> np.ndarray:

@@ -33,3 +33,21 @@ def json_bids(records: DataFrame, data: str) -> DataFrame:
 def decode_envelope(records: DataFrame, data: str, schema: T.StructType | str) -> DataFrame:
     """The JSON payloads of records as rows of schema; payloads that can't be read become rows of nulls."""
     return records.select(F.from_json(base64_text(F.col(data)), schema).alias("r")).select("r.*")
+
+
+def kinesis_rows(records: DataFrame, schema: T.StructType | str) -> DataFrame:
+    """Rows of a record batch event: records(Records array of struct(kinesis struct(data string)))."""
+    each = records.select(F.explode("Records").alias("r")).select(F.col("r.kinesis.data").alias("data"))
+    return decode_envelope(each, "data", schema)
+
+
+def kafka_rows(records: DataFrame, schema: T.StructType | str) -> DataFrame:
+    """Rows of a topic event: records(records map of topic-partition to array of struct(value string))."""
+    each = records.select(F.explode(F.flatten(F.map_values("records"))).alias("r")).select(F.col("r.value").alias("data"))
+    return decode_envelope(each, "data", schema)
+
+
+def infer_payload_schema(spark, sample: str) -> T.StructType:
+    """The schema of one base64 JSON payload, for streams whose first record declares their shape."""
+    text = spark.range(1).select(base64_text(F.lit(sample)).alias("t")).first()["t"]
+    return T.StructType.fromDDL(spark.range(1).select(F.schema_of_json(F.lit(text)).alias("s")).first()["s"].removeprefix("STRUCT<").removesuffix(">"))

@@ -9,7 +9,7 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.plans import auctions, relational, tpch
-from millrace.plans.dialect import SPARK, register_tables, render
+from millrace.plans.dialect import SECONDS, SPARK, register_tables, render
 from millrace.runner import run_batch, timed
 from millrace.session import local_session
 from millrace.sinks import NAMES, Sink, with_log_partitions
@@ -33,7 +33,7 @@ def _nexmark_text(number: str) -> str:
     names = [n for n in (f"nexmark_q{number}", f"nexmark_q{number}_aligned") if n in auctions.TEXTS]
     if not names:
         raise SystemExit(f"no SQL text for q{number}; have {sorted(auctions.TEXTS)}")
-    return render(auctions.TEXTS[names[0]], SPARK)
+    return render(auctions.TEXTS[names[0]], SECONDS)
 
 
 def _streams(args: argparse.Namespace) -> generators.Stream:
@@ -51,7 +51,7 @@ def nexmark(spark: SparkSession, args: argparse.Namespace) -> None:
 
 
 def ysb(spark: SparkSession, args: argparse.Namespace) -> None:
-    _show(spark, QuerySpec("ysb", render(auctions.TEXTS["ysb"], SPARK), generators.ysb(spark, _streams(args)), sink=_sink(args)), args.show)
+    _show(spark, QuerySpec("ysb", render(auctions.TEXTS["ysb"], SECONDS), generators.ysb(spark, _streams(args)), sink=_sink(args)), args.show)
 
 
 def run_tpch(spark: SparkSession, args: argparse.Namespace) -> None:

@@ -18,18 +18,16 @@ from millrace.plans.dialect import OTHER, Dialect, query, render
 BASE = 1_436_918_400_000
 EPOCH = 3_600_000
 SIZE = 600_000
-HOP = 300_000
 GAP = 600_000
-DAY = 86_400_000
 
 
 def _clean(x: Dialect) -> str:
-    e = lambda c: f"CAST({x.floor_to(x.ms(c), EPOCH)} AS BIGINT) AS epoch"
+    e = lambda c: f"CAST({x.floor_to(x.ms(c), x.epoch)} AS BIGINT) AS epoch"
     return f"""
 WITH bids AS (SELECT DISTINCT bid_id, auction, bidder, price, b_date_time, {x.ms("b_date_time")} AS b_ms, {e("b_date_time")} FROM bid),
 auctions AS (SELECT DISTINCT a_id, item_name, a_date_time, expires, seller, category, {x.ms("a_date_time")} AS a_ms, {e("a_date_time")} FROM auction),
 persons AS (SELECT DISTINCT p_id, name, city, lower(trim(state)) AS state, {x.ms("p_date_time")} AS p_ms, {e("p_date_time")} FROM person),
-whole AS (SELECT {x.floor_to("max(b_ms)", HOP)} + {HOP} AS stream_end FROM bids)"""
+whole AS (SELECT {x.floor_to("max(b_ms)", x.hop)} + {x.hop} AS stream_end FROM bids)"""
 
 
 def _with(body):
@@ -46,11 +44,11 @@ SELECT epoch, category, round(avg(final), 4) AS avg_final FROM best WHERE catego
 
 
 def _q5(x: Dialect) -> str:
-    return f""", placed AS (SELECT auction, {x.hops("b_ms", BASE, SIZE, HOP)} AS window_start FROM bids WHERE auction IS NOT NULL AND b_ms IS NOT NULL),
+    return f""", placed AS (SELECT auction, {x.hops("b_ms", BASE, x.size, x.hop)} AS window_start FROM bids WHERE auction IS NOT NULL AND b_ms IS NOT NULL),
 counted AS (SELECT window_start, auction, count(*) AS num FROM placed GROUP BY window_start, auction),
 top AS (SELECT window_start, max(num) AS most FROM counted GROUP BY window_start)
 SELECT c.window_start, c.auction, c.num FROM counted c JOIN top t ON t.window_start = c.window_start AND t.most = c.num CROSS JOIN whole
-WHERE c.window_start >= {BASE} AND c.window_start + {SIZE} <= stream_end"""
+WHERE c.window_start >= {BASE} AND c.window_start + {x.size} <= stream_end"""
 
 
 def _won(x: Dialect) -> str:
@@ -60,20 +58,20 @@ def _won(x: Dialect) -> str:
 recent AS (SELECT epoch, seller, price, row_number() OVER (PARTITION BY epoch, seller ORDER BY b_date_time DESC, a_id DESC) AS back FROM ordered WHERE nth = 1)"""
 
 
-def _tumbled(x: Dialect, ms: str, columns: str, source: str, size: int = SIZE) -> str:
-    return f"SELECT {columns}, {x.floor_to(f'({ms} - {BASE})', size)} + {BASE} AS window_start FROM {source} WHERE {ms} IS NOT NULL"
+def _tumbled(x: Dialect, ms: str, columns: str, source: str, size: int | None = None) -> str:
+    return f"SELECT {columns}, {x.floor_to(f'({ms} - {BASE})', size or x.size)} + {BASE} AS window_start FROM {source} WHERE {ms} IS NOT NULL"
 
 
 def _q7(x: Dialect) -> str:
     return f""", placed AS ({_tumbled(x, "b_ms", "auction, bidder, price, b_date_time", "bids")}),
 top AS (SELECT window_start, max(price) AS most FROM placed GROUP BY window_start)
 SELECT p.window_start, p.auction, p.price, p.bidder, p.b_date_time FROM placed p JOIN top t ON t.window_start = p.window_start AND t.most = p.price CROSS JOIN whole
-WHERE p.window_start >= {BASE} AND p.window_start + {SIZE} <= stream_end"""
+WHERE p.window_start >= {BASE} AND p.window_start + {x.size} <= stream_end"""
 
 
 def _q8(x: Dialect) -> str:
-    return f""", newcomers AS (SELECT DISTINCT p_id, name, window_start FROM ({_tumbled(x, "p_ms", "p_id, name", "persons", DAY)}) p),
-sellers AS (SELECT DISTINCT seller, window_start FROM ({_tumbled(x, "a_ms", "seller", "auctions", DAY)}) a)
+    return f""", newcomers AS (SELECT DISTINCT p_id, name, window_start FROM ({_tumbled(x, "p_ms", "p_id, name", "persons", x.long)}) p),
+sellers AS (SELECT DISTINCT seller, window_start FROM ({_tumbled(x, "a_ms", "seller", "auctions", x.long)}) a)
 SELECT n.p_id, n.name, n.window_start FROM newcomers n JOIN sellers s ON s.seller = n.p_id AND s.window_start = n.window_start"""
 
 
@@ -90,7 +88,7 @@ def _ads(x: Dialect) -> str:
     return f"""
 WITH ads AS (SELECT DISTINCT {x.uuid("c_ad_id")} AS ad, {x.uuid("campaign_id")} AS campaign FROM campaign),
 views AS (SELECT DISTINCT {x.uuid("user_id")} AS u, {x.uuid("page_id")} AS pg, {x.uuid("ad_id")} AS ad, lower(trim(ad_type)) AS kind, lower(trim(event_type)) AS event_type, event_time, ip_address FROM ad_event WHERE event_time IS NOT NULL)
-SELECT a.campaign AS campaign_id, {x.floor_to(x.ms("v.event_time") + f" - {BASE}", SIZE)} + {BASE} AS window_start, count(*) AS n
+SELECT a.campaign AS campaign_id, {x.floor_to(x.ms("v.event_time") + f" - {BASE}", x.size)} + {BASE} AS window_start, count(*) AS n
 FROM views v JOIN ads a ON a.ad = v.ad WHERE v.event_type = 'view' GROUP BY 1, 2"""
 
 
@@ -98,7 +96,7 @@ TEXTS = {
     "nexmark_q0": _with(lambda x: " SELECT bid_id, auction, bidder, price, b_date_time FROM bids"),
     "nexmark_q1": _with(lambda x: " SELECT bid_id, auction, bidder, round(CAST(0.908 AS DOUBLE) * price, 3) AS price, b_date_time FROM bids"),
     "nexmark_q2": _with(lambda x: " SELECT bid_id, auction, price FROM bids WHERE auction % 123 = 0"),
-    "nexmark_q3": _with(lambda x: f" SELECT p.name, p.city, p.state, a.a_id, a.epoch FROM auctions a JOIN persons p ON p.p_id = a.seller AND {x.floor_to('p.epoch', DAY)} = {x.floor_to('a.epoch', DAY)} WHERE a.category = 10 AND p.state IN ('or', 'id', 'ca')"),
+    "nexmark_q3": _with(lambda x: f" SELECT p.name, p.city, p.state, a.a_id, a.epoch FROM auctions a JOIN persons p ON p.p_id = a.seller AND {x.floor_to('p.epoch', x.long)} = {x.floor_to('a.epoch', x.long)} WHERE a.category = 10 AND p.state IN ('or', 'id', 'ca')"),
     "nexmark_q4": _with(_q4),
     "nexmark_q5": _with(_q5),
     "nexmark_q6": _with(lambda x: _won(x) + " SELECT epoch, seller, round(avg(price), 4) AS avg_price FROM recent WHERE back <= 10 GROUP BY epoch, seller"),

@@ -15,7 +15,10 @@ TABLES = (
 
 
 class Dialect:
-    """Functions as Spark SQL writes them."""
+    """Functions as Spark SQL writes them, and the sizes in milliseconds of a suite's epochs and windows."""
+
+    def __init__(self, epoch: int = 3_600_000, size: int = 600_000, hop: int = 300_000, long: int = 86_400_000) -> None:
+        self.epoch, self.size, self.hop, self.long = epoch, size, hop, long
 
     def ms(self, column: str) -> str:
         return f"unix_millis(CAST({column} AS TIMESTAMP))"
@@ -63,6 +66,8 @@ class Other(Dialect):
 
 
 SPARK, OTHER = Dialect(), Other()
+#: The sizes of the suites on generated streams: epochs of a second, windows of ten, hops of five.
+SECONDS = Dialect(1000, 10_000, 5_000, 10_000)
 Text = str | Callable[[Dialect], str]
 
 

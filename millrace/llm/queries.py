@@ -61,8 +61,7 @@ def p1_distinct_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 
-def _order() -> list:
-    return [F.desc("price"), F.asc_nulls_last("b_date_time"), F.asc("bid_id")]
+_ORDER = [("price", True), ("b_date_time", False), ("bid_id", False)]
 
 
 def _ranked_bids(spark: SparkSession, d: str) -> DataFrame:
@@ -83,11 +82,11 @@ def _best_by_category(spark: SparkSession, d: str, n: int) -> DataFrame:
     reach = told.join(cut, "category").where(topn.bucket(F.col("price")) >= F.col("threshold")).select("auction", "category", "threshold")
     reach = broadcast_up_to(cut_lineage(reach), 200_000)
     high = bids.join(reach, "auction").where(topn.bucket(F.col("price")) >= F.col("threshold"))
-    return topn.rank(high, "category", _order(), "bid_id", n, shards=64)
+    return topn.rank(high, "category", _ORDER, "bid_id", n, shards=64)
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    by_auction = topn.top_n(_ranked_bids(spark, d), "auction", "price", _order(), "bid_id", 3)
+    by_auction = topn.top_n(_ranked_bids(spark, d), "auction", "price", _ORDER, "bid_id", 3)
     by_category = _best_by_category(spark, d, 10)
     shape = lambda df, level: df.select(F.lit(level).alias("level"), F.col(level).alias("group_key"), F.col("place").cast("long").alias("place"), "bid_id")
     return shape(by_auction, "auction").unionByName(shape(by_category, "category"))

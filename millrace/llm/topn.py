@@ -37,33 +37,56 @@ def histogram(df: DataFrame, group: str, score: str, item: str) -> DataFrame:
     return df.groupBy(group, bucket(F.col(score)).alias("bucket")).agg(F.bit_or(mask).alias("mask"))
 
 
-def rank(df: DataFrame, group: str, order: list[Column], item: str, n: int, shards: int = 1) -> DataFrame:
+Order = list[tuple[str, bool]]
+
+
+def _packed(df: DataFrame, group: str, item: str, order: Order) -> DataFrame:
+    """df's rows whole beside what ranking needs, so their column names can't clash with its own."""
+    keys = [F.col(f"`{c}`").alias(f"__k{i}") for i, (c, _) in enumerate(order)]
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("__row"), F.col(f"`{group}`").alias("__group"), F.col(f"`{item}`").alias("__item"), *keys)
+
+
+def _best(rows: DataFrame, order: Order, n: int, shards: int) -> DataFrame:
+    by = [F.col(f"__k{i}").desc_nulls_last() if down else F.col(f"__k{i}").asc_nulls_last() for i, (_, down) in enumerate(order)]
+    shard = F.pmod(F.xxhash64("__item"), F.lit(shards)).cast("int") if shards > 1 else F.lit(0)
+    one = rows.withColumn("__shard", shard).repartition("__group", "__shard").dropDuplicates(["__group", "__shard", "__item"])
+    best = one.withColumn("__place", F.row_number().over(Window.partitionBy("__group", "__shard").orderBy(*by))).where(F.col("__place") <= n)
+    if shards > 1:
+        best = best.withColumn("__place", F.row_number().over(Window.partitionBy("__group").orderBy(*by))).where(F.col("__place") <= n)
+    return best
+
+
+def _unpacked(best: DataFrame, columns: list[str]) -> DataFrame:
+    return best.select(*(F.col(f"__row.`{c}`") for c in columns if c != "place"), F.col("__place").alias("place"))
+
+
+def rank(df: DataFrame, group: str, order: Order, item: str, n: int, shards: int = 1) -> DataFrame:
     """The first n different items of each group with their place; copies of an item are dropped.
 
     Copies share a shard, so with shards > 1 no task holds a whole group and the last step sees at most n * shards rows of one.
     """
-    spread = df.withColumn("__shard", F.pmod(F.xxhash64(item), F.lit(shards)).cast("int")) if shards > 1 else df.withColumn("__shard", F.lit(0))
-    one = spread.repartition(group, "__shard").dropDuplicates([group, "__shard", item])
-    best = one.withColumn("place", F.row_number().over(Window.partitionBy(group, "__shard").orderBy(*order))).where(F.col("place") <= n)
-    if shards > 1:
-        best = best.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("place") <= n)
-    return best.drop("__shard")
+    return _unpacked(_best(_packed(df, group, item, order), order, n, shards), df.columns)
 
 
-def top_n(df: DataFrame, group: str, score: str, order: list[Column], item: str, n: int, max_large: int = 20_000, shards: int = 64) -> DataFrame:
+def top_n(df: DataFrame, group: str, score: str, order: Order, item: str, n: int, max_large: int = 20_000, shards: int = 64) -> DataFrame:
     """df's rows of the first n items of each group by order, with column place (from 1).
 
-    order starts with score descending and must end with item, so it is total. Rows with a null group or score are
-    left out, copies of an item count once, a group with fewer than n items comes out whole, an empty table gives an
-    empty result. n may be up to 64.
+    order lists (column, descending), nulls last; it starts with the score, descending, and ends with item, so it is total. Rows
+    with a null group or score are left out, copies of an item count once, a group with fewer than n items comes out
+    whole, an empty table gives an empty result. A column of df that is called place is replaced; other names are free. n
+    may be up to 64; scores are integers.
 
     Groups with more than 1 / max_large of all rows are large; there are fewer than max_large of them, which bounds what is
     broadcast: their thresholds. All others are ranked directly.
     """
-    base = df.where(F.col(group).isNotNull() & F.col(score).isNotNull())
+    if not 0 < n <= 64 or order[0] != (score, True) or order[-1][0] != item:
+        raise ValueError("n must be 1 to 64, and order must begin with the score, descending, and end with the item")
+    whole = df.where(F.col(f"`{group}`").isNotNull() & F.col(f"`{score}`").isNotNull())
+    base = _packed(whole, group, item, order).withColumn("__score", F.col("__k0").cast("long"))
     limit = max(64 * n, df.count() // max_large)
-    large = base.groupBy(group).count().where(F.col("count") > limit).select(group)
-    cut = F.broadcast(thresholds(histogram(base.join(F.broadcast(large), group, "left_semi"), group, score, item), group, n))
-    small = base.join(cut, group, "left_anti")
-    high = base.join(cut, group).where(bucket(F.col(score)) >= F.col("threshold")).drop("threshold")
-    return rank(small, group, order, item, n).unionByName(rank(high, group, order, item, n, shards))
+    large = base.groupBy("__group").agg(F.count("*").alias("__n")).where(F.col("__n") > limit).select("__group")
+    cut = F.broadcast(thresholds(histogram(base.join(F.broadcast(large), "__group", "left_semi"), "__group", "__score", "__item"), "__group", n))
+    small = base.join(cut, "__group", "left_anti")
+    high = base.join(cut, "__group").where(bucket(F.col("__score")) >= F.col("threshold"))
+    best = _best(small, order, n, 1).select("__row", "__place").unionByName(_best(high.select(*small.columns), order, n, shards).select("__row", "__place"))
+    return _unpacked(best, df.columns)

@@ -6,8 +6,8 @@ Texts become words. Every window of ``window`` words of an item is looked for am
    items' vocabulary; a running count leaves only such windows.
 2. CGK embedding: a random walk over a window writes one word per step and moves on or stays by a random bit of that word and
    step. Windows at edit distance k come out at Hamming distance O(k * k) with high probability, equal ones equal.
-3. Bit-sampling LSH: each repetition compares hashes of a few sampled steps of the walk. The number of repetitions
-   follows from the target recall; for equal windows one is enough.
+3. Bit-sampling LSH: each repetition makes a walk of its own and compares hashes of a few sampled steps. The number of
+   repetitions follows from the target recall; for equal windows one is enough.
 4. Exact verification of every candidate: equality for no edits, else the edit distance of the words.
 
 The items are a stated query set, which goes to every task in blocks of bounded size; documents aren't shuffled.
@@ -15,8 +15,7 @@ The items are a stated query set, which goes to every task in blocks of bounded
 
 from __future__ import annotations
 
-import math
-from collections import defaultdict
+import functools
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -35,8 +34,8 @@ _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 class Settings:
     """window: words of a passage; edits: word edits allowed in it; recall: target for passages with that many edits.
 
-    samples: steps compared in one repetition. With a walk of 3 * window steps and k edits about 6 * k * k + 2 * k
-    steps differ, so one repetition finds such a pair with probability (1 - share differing) ** samples.
+    samples: steps compared in one repetition. The number of repetitions is the least that reaches the recall on made-up
+    windows with that many edits (see :func:`repetitions_for`).
     """
 
     window: int = WINDOW
@@ -51,49 +50,69 @@ class Settings:
 
     @property
     def repetitions(self) -> int:
-        if not self.edits:
-            return 1
-        differing = min(0.75, (6 * self.edits**2 + 2 * self.edits) / self.steps)
-        hit = (1 - differing) ** self.samples
-        return math.ceil(math.log(1 - self.recall) / math.log(1 - hit))
+        return repetitions_for(self) if self.edits else 1
+
+
+def _walk(code: np.ndarray, bits: np.ndarray, starts: np.ndarray, window: int, sampled: list[int]) -> np.ndarray:
+    """Hashes of the sampled steps of the walks over windows at starts. Behind its window a walk writes a pad.
+
+    code and bits have one entry more than there are words: the pad's.
+    """
+    end, at, pad = starts + window, starts.copy(), len(code) - 1
+    out = np.zeros(len(starts), np.uint64)
+    for step in range(sampled[-1] + 1):
+        inside = at < end
+        here = np.where(inside, at, pad)
+        if step in sampled:
+            out = mixed(out * _GOLDEN + code[here] + np.uint64(step + 1))
+        at = at + (inside & ((bits[here] >> np.uint64(step % 64)) & np.uint64(1)).astype(bool))
+    return out
 
 
 class Embedding:
-    """The walk and the samples; every process builds the same from the seed."""
+    """One random walk and one sample of its steps for each repetition; every process makes the same from the seed."""
 
-    def __init__(self, settings: Settings) -> None:
+    def __init__(self, settings: Settings, repetitions: int | None = None) -> None:
         rng = np.random.default_rng(settings.seed)
         self.s = settings
-        self.salt = rng.integers(1, 2**63, dtype=np.uint64) | np.uint64(1)
-        sampled = [rng.choice(settings.steps, settings.samples, replace=False) for _ in range(settings.repetitions)]
-        if not settings.edits:  # equal windows agree in every step, so the walk may stop early
-            sampled = [np.sort(rng.choice(settings.window, settings.samples, replace=False))]
-        self.at: dict[int, list[int]] = defaultdict(list)
-        for r, steps in enumerate(sampled):
-            for step in steps:
-                self.at[int(step)].append(r)
-        self.last = max(self.at)
-
-    def signatures(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """(repetitions, windows) hashes of the windows of word ids at starts. Where a walk has left its window it writes a pad."""
-        code = mixed((ids.astype(np.int64) + 2).astype(np.uint64) * _GOLDEN ^ self.salt)
-        bits = mixed(code ^ np.uint64(0x5DEECE66D))
-        end = starts + self.s.window
-        at = starts.copy()
-        out = np.zeros((self.s.repetitions, len(starts)), np.uint64)
-        padded = np.append(code, np.uint64(0))
-        moves = np.append(bits, np.uint64(0))
-        for step in range(self.last + 1):
-            inside = at < end
-            here = np.where(inside, at, len(ids))
-            if step in self.at:
-                value = padded[here]
-                for r in self.at[step]:
-                    out[r] = mixed(out[r] * _GOLDEN + value + np.uint64(step + 1))
-            if step % 64 == 0 and step:
-                moves = mixed(moves + _GOLDEN)
-            at = at + (inside & ((moves[here] >> np.uint64(step % 64)) & np.uint64(1)).astype(bool))
-        return out
+        # equal windows agree in every step, so without edits the walk may stop early
+        steps = settings.steps if settings.edits else settings.window
+        n = settings.repetitions if repetitions is None else repetitions
+        self.each = [(rng.integers(1, 2**63, dtype=np.uint64), sorted(rng.choice(steps, settings.samples, replace=False).tolist())) for _ in range(n)]
+
+    def signatures(self, ids: np.ndarray, starts: np.ndarray) -> Iterator[np.ndarray]:
+        """For each repetition, hashes of the windows of word ids at starts."""
+        code = np.append(mixed((ids + 2).astype(np.uint64) * _GOLDEN), np.uint64(0))
+        for salt, sampled in self.each:
+            bits = mixed(code ^ salt)
+            yield _walk(code, bits, starts, self.s.window, sampled)
+
+
+@functools.lru_cache
+def repetitions_for(s: Settings, pairs: int = 400, walks: int = 200) -> int:
+    """The least number of repetitions that finds a share s.recall of windows with s.edits words changed, dropped or put in.
+
+    How often walks over a window and its edited copy agree in the sample depends on where the edits are, so it is measured for
+    every pair over many walks.
+    """
+    rng = np.random.default_rng(s.seed + 1)
+    one = np.arange(pairs * s.window).reshape(pairs, s.window)
+    two = []
+    for row in one:
+        words = row.tolist()
+        for _ in range(s.edits):
+            at, fresh = int(rng.integers(0, len(words))), int(rng.integers(10**6, 10**9))
+            kind = rng.integers(0, 3)
+            words[at : at + (kind != 2)] = [] if kind == 1 else [fresh]
+        two.append((words + rng.integers(10**6, 10**9, s.window).tolist())[: s.window])
+    starts = np.arange(pairs) * s.window
+    embedding = Embedding(s, walks)
+    a, b = embedding.signatures(one.ravel(), starts), embedding.signatures(np.array(two).ravel(), starts)
+    hit = np.mean([x == y for x, y in zip(a, b, strict=True)], axis=0)
+    for n in range(1, 400):
+        if np.mean(1 - (1 - hit) ** n) >= s.recall:
+            return n
+    return 400
 
 
 def within_edits(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:

@@ -2,7 +2,8 @@
 
 Two passes over whole texts. The first counts words and pairs of neighbouring words of the whole corpus into two tables of
 fixed size, indexed by hash (whatever the corpus, 2**WORD_BITS and 2**PAIR_BITS counts; a pair shares its count with
-about 1 / 2**PAIR_BITS of the corpus, which is subtracted). The second gives each text, from the corpus without itself:
+about 1 / 2**PAIR_BITS of the corpus, which is subtracted). Copies of a text within a task count once and a word of a very
+long text counts less, so neither a text copied over a third of the corpus nor a huge one makes its own words usual. The second gives each text, from the corpus without itself:
 
 * its coherence, the mean pointwise mutual information of neighbouring words, discounted where the rest of the corpus
   says little: near 0 if the words meet nowhere else, as in word salad and lists of links;
@@ -24,6 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +37,9 @@ PAIR_BITS = 22
 _PART = 1 << 16
 #: Rows worked on at once.
 _ROWS = 1024
+#: No text counts for more than so many words; counts are kept in fractions of a word.
+LONG = 2000
+_UNIT = 1 << 12
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -47,14 +52,29 @@ def cells(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (h >> np.uint64(64 - WORD_BITS)).astype(np.int64), at, ((mix * _MULTIPLIER) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
 
 
+def weights(words: Words) -> np.ndarray:
+    """What a word of each text counts, in units of 1 / _UNIT: one, or less in a long text, so that no text counts for more than LONG words."""
+    return np.maximum(1, _UNIT * np.minimum(1.0, LONG / np.maximum(words.counts, 1))).astype(np.int64)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One task's counts, as compressed parts of the two tables."""
+    """One task's counts, as compressed parts of the two tables. Exact copies of a text within the task count once."""
     tables = [np.zeros(1 << WORD_BITS, np.int64), np.zeros(1 << PAIR_BITS, np.int64)]
+    seen: set[int] = set()
     for batch in batches:
         for at in range(0, batch.num_rows, _ROWS):
-            single, _, pair = cells(words_of(batch.column(0).slice(at, _ROWS)))
-            for table, index in zip(tables, (single, pair), strict=True):
-                np.add.at(table, index, 1)
+            part = batch.column(0).slice(at, _ROWS)
+            fresh = []
+            for i, text in enumerate(part):
+                h = xxhash.xxh3_64_intdigest(text.as_py())
+                if h not in seen:
+                    seen.add(h)
+                    fresh.append(i)
+            words = words_of(part.take(pa.array(fresh, pa.int64())))
+            weight = weights(words)
+            single, begin, pair = cells(words)
+            np.add.at(tables[0], single, weight[words.text])
+            np.add.at(tables[1], pair, weight[words.text[begin]])
     parts, blobs = [], []
     for table in tables:
         base = 0 if len(table) == 1 << WORD_BITS else (1 << WORD_BITS) // _PART
@@ -74,13 +94,13 @@ def _add(group: pd.DataFrame) -> pd.DataFrame:
 
 @dataclass
 class Corpus:
-    """Counts of the whole corpus. Their size doesn't depend on the corpus."""
+    """Weighted counts of the whole corpus, in words. Their size doesn't depend on the corpus."""
 
     words: np.ndarray
     pairs: np.ndarray
 
     def __post_init__(self) -> None:
-        self.n_words, self.n_pairs = float(self.words.sum()), float(self.pairs.sum())
+        self.n_words, self.n_pairs = float(self.words.sum(dtype=np.float64)), float(self.pairs.sum(dtype=np.float64))
 
 
 def corpus_counts(texts: DataFrame, fan_in: int = 64) -> Corpus:
@@ -94,7 +114,7 @@ def corpus_counts(texts: DataFrame, fan_in: int = 64) -> Corpus:
         base = (1 << WORD_BITS) // _PART
         table, at = (tables[0], row["part"]) if row["part"] < base else (tables[1], row["part"] - base)
         table[at * _PART : (at + 1) * _PART] = np.frombuffer(zlib.decompress(row["counts"]), np.int64)
-    return Corpus(*tables)
+    return Corpus(*((t / _UNIT).astype(np.float32) for t in tables))
 
 
 def _own(text: np.ndarray, cell: np.ndarray, bits: int) -> np.ndarray:
@@ -113,10 +133,11 @@ def coherence(words: Words, corpus: Corpus) -> tuple[np.ndarray, np.ndarray]:
     single, at, pair = cells(words)
     text = words.text[at]
     own_words, own_pairs = _own(words.text, single, WORD_BITS), _own(text, pair, PAIR_BITS)
-    rest = np.maximum(corpus.words[single] - own_words, 0)
-    n_words = np.maximum(corpus.n_words - n, 1.0)[text]
-    n_pairs = np.maximum(corpus.n_pairs - n + 1, 1.0)[text]
-    together = np.maximum(corpus.pairs[pair] - own_pairs - n_pairs / (1 << PAIR_BITS), 0.0)
+    share = weights(words) / _UNIT
+    rest = np.maximum(corpus.words[single] - own_words * share[words.text], 0)
+    n_words = np.maximum(corpus.n_words - n * share, 1.0)[text]
+    n_pairs = np.maximum(corpus.n_pairs - (n - 1) * share, 1.0)[text]
+    together = np.maximum(corpus.pairs[pair] - own_pairs * share[text] - n_pairs / (1 << PAIR_BITS), 0.0)
     left, right = rest[at], rest[at + 1]
     least = np.minimum(left, right)
     pmi = np.log((together + 1e-9) * n_words * n_words / (n_pairs * np.maximum(left, 1) * np.maximum(right, 1)))
@@ -256,5 +277,5 @@ def stuffed(documents: DataFrame, features: bool = False) -> DataFrame:
     """
     texts = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     corpus = corpus_counts(texts.select("text"))
-    sent = documents.sparkSession.sparkContext.broadcast((corpus.words.astype(np.float32), corpus.pairs.astype(np.float32)))
+    sent = documents.sparkSession.sparkContext.broadcast((corpus.words, corpus.pairs))
     return texts.mapInArrow(_judge(lambda: Corpus(*sent.value), features), "doc_id bigint, coherence double, repetition double, spam boolean")

@@ -16,7 +16,8 @@ def millis(column: Column) -> Column:
 
 def floor_div(value: Column, by: int) -> Column:
     """Exact integer division rounding down, also below zero."""
-    return ((value - F.pmod(value, F.lit(by).cast("long"))) / F.lit(by)).cast("long")
+    divisor = F.lit(by).cast("long")
+    return F.call_function("div", value.cast("long") - F.pmod(value.cast("long"), divisor), divisor)
 
 
 def day_text(day: Column) -> Column:

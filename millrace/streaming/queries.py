@@ -13,44 +13,50 @@ from millrace.functions.times import HOUR_MS, millis
 from millrace.operators import lateness
 
 
+def _marked(df: DataFrame, time: str, delay: str) -> DataFrame:
+    """df with a watermark on time, which must be an absolute time; wall-clock times are taken as UTC."""
+    return df.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay)
+
+
 def _flat(df: DataFrame) -> DataFrame:
     return df.withColumn("window_start", millis(F.col("window.start"))).drop("window")
 
 
 def element_wise_counts(df: DataFrame, time: str, delay: str, groups: list[str]) -> DataFrame:
     """Counts per second and groups."""
-    return _flat(df.withWatermark(time, delay).groupBy(F.window(time, "1 second"), *groups).agg(F.count("*").alias("n")))
+    return _flat(_marked(df, time, delay).groupBy(F.window(time, "1 second"), *groups).agg(F.count("*").alias("n")))
 
 
 def tumbling_counts(df: DataFrame, time: str, size: str, delay: str, groups: list[str]) -> DataFrame:
-    return _flat(df.withWatermark(time, delay).groupBy(F.window(time, size), *groups).agg(F.count("*").alias("n")))
+    return _flat(_marked(df, time, delay).groupBy(F.window(time, size), *groups).agg(F.count("*").alias("n")))
 
 
 def hot_items(bids: DataFrame, size: str, hop: str, delay: str) -> DataFrame:
     """The auctions with most bids in each hopping window: counts joined with their windowed maximum."""
-    counts = bids.withWatermark("b_date_time", delay).groupBy(F.window("b_date_time", size, hop), "auction").agg(F.count("*").alias("num"))
-    most = counts.groupBy(F.window(F.window_time("window"), size, hop).alias("again"), F.col("window").alias("w")).agg(F.max("num").alias("most"))
-    joined = counts.join(most.select("w", "most"), (F.col("window") == F.col("w")) & (F.col("num") == F.col("most")))
-    return _flat(joined.select("window", "auction", "num"))
+    counts = _marked(bids, "b_date_time", delay).groupBy(F.window("b_date_time", size, hop), "auction").agg(F.count("*").alias("num"))
+    # hopping windows end a hop apart, so each has a slot of one hop of its own
+    slots = counts.select(F.window(F.window_time("window"), hop).alias("slot"), millis(F.col("window.start")).alias("window_start"), "auction", "num")
+    most = slots.groupBy("slot").agg(F.max("num").alias("most")).withColumnRenamed("slot", "again")
+    return slots.join(most, (F.col("slot") == F.col("again")) & (F.col("num") == F.col("most"))).select("window_start", "auction", "num")
 
 
 def highest_bids(bids: DataFrame, size: str, delay: str) -> DataFrame:
     """One highest bid per tumbling window, the earliest of equals."""
     best = F.max_by(F.struct("auction", "bidder", "price"), F.struct("price", (-millis(F.col("b_date_time"))).alias("t")))
-    return _flat(bids.withWatermark("b_date_time", delay).groupBy(F.window("b_date_time", size)).agg(best.alias("b"))).select("window_start", "b.*")
+    return _flat(_marked(bids, "b_date_time", delay).groupBy(F.window("b_date_time", size)).agg(best.alias("b"))).select("window_start", "b.*")
 
 
 def session_counts(df: DataFrame, key: str, time: str, gap: str, delay: str) -> DataFrame:
     """Sessions per key. A session window ends a gap after its last event; neighbours exactly a gap apart share one."""
-    agg = df.withWatermark(time, delay).groupBy(F.session_window(time, gap), key).agg(F.min(time).alias("a"), F.max(time).alias("b"), F.count("*").alias("events"))
+    agg = _marked(df, time, delay).groupBy(F.session_window(time, gap), key).agg(F.min(time).alias("a"), F.max(time).alias("b"), F.count("*").alias("events"))
     return agg.select(key, millis(F.col("a")).alias("start_ms"), millis(F.col("b")).alias("end_ms"), "events")
 
 
 def interval_join(auctions: DataFrame, bids: DataFrame, delay: str, longest: str) -> DataFrame:
     """Bids with the auction they were made in. longest bounds an auction's length, and with it the state."""
-    a = auctions.withWatermark("a_date_time", delay)
-    b = bids.withWatermark("b_date_time", delay)
-    inside = F.expr(f"auction = a_id AND b_date_time BETWEEN a_date_time AND expires AND b_date_time <= a_date_time + INTERVAL {longest}")
+    a = _marked(auctions, "a_date_time", delay)
+    b = _marked(bids, "b_date_time", delay)
+    inside = F.expr(f"auction = a_id AND b_date_time BETWEEN a_date_time AND CAST(expires AS TIMESTAMP) AND b_date_time <= a_date_time + INTERVAL {longest}")
     return b.join(a, inside)
 
 
@@ -61,7 +67,7 @@ def with_side_input(bids: DataFrame, side: DataFrame) -> DataFrame:
 
 def once(df: DataFrame, keys: list[str], time: str, delay: str) -> DataFrame:
     """Each record once, as long as its copies come within the delay."""
-    return df.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
+    return _marked(df, time, delay).dropDuplicatesWithinWatermark(keys)
 
 
 def anchored_counts(df: DataFrame, key: str, ms: str, size_ms: int) -> DataFrame:

@@ -104,6 +104,11 @@ TEXTS = {
         lambda x: _won(x)
         + """ SELECT seller, a_id, round(avg(price) OVER (PARTITION BY seller ORDER BY b_date_time, a_id, epoch ROWS BETWEEN 10 PRECEDING AND CURRENT ROW), 4) AS avg_price FROM ordered WHERE nth = 1"""
     ),
+    "nexmark_q6_latest": _with(
+        lambda x: f""", sold AS (SELECT a.epoch, a.seller, a.a_id, max(b.price) AS final, max(b.b_date_time) AS last_at FROM auctions a JOIN bids b ON {_inside(x)} WHERE a.seller IS NOT NULL GROUP BY a.epoch, a.seller, a.a_id),
+recent AS (SELECT *, row_number() OVER (PARTITION BY epoch, seller ORDER BY last_at DESC NULLS LAST, a_id DESC) AS back FROM sold)
+SELECT epoch, seller, round(avg(final), 4) AS avg_final FROM recent WHERE back <= 10 GROUP BY epoch, seller"""
+    ),
     "nexmark_q7": _with(_q7),
     "nexmark_q8": _with(_q8),
     "nexmark_q9": _with(_q9),
@@ -111,6 +116,7 @@ TEXTS = {
     "nexmark_q10": _with(lambda x: f" SELECT bid_id, auction, bidder, price, b_date_time, {x.text('b_date_time', 'yyyy-MM-dd')} AS dt, {x.text('b_date_time', 'HH:mm')} AS hm FROM bids"),
     "nexmark_q12_aligned": _with(lambda x: f" SELECT bidder, window_start, count(*) AS bids FROM ({_tumbled(x, 'b_ms', 'bidder', 'bids')}) w WHERE bidder IS NOT NULL GROUP BY bidder, window_start"),
     "nexmark_q13": _with(lambda x: " SELECT b.bid_id, b.auction, b.bidder, b.price, b.b_date_time, CAST(s.p_size AS BIGINT) AS value FROM bids b JOIN part s ON s.p_partkey = b.auction"),
+    "nexmark_q13_mod": _with(lambda x: " SELECT b.bid_id, b.auction, b.bidder, b.price, b.b_date_time, CAST(s.p_size AS BIGINT) AS value FROM bids b JOIN part s ON s.p_partkey = mod(b.auction, 1000)"),
     "ysb": _ads,
 }
 

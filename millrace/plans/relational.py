@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.catalog import table
 from millrace.plans.dialect import OTHER, query, render
+from millrace.spec import QuerySpec
 
 TEXTS = {
     # projection, filter, predicates
@@ -103,5 +104,13 @@ def fn_json_base64(spark: SparkSession, d: str) -> DataFrame:
     return e.select("event_id", F.from_json(F.unbase64("b").cast("string"), "k bigint").getField("k").alias("k"))
 
 
-QUERIES = {k: query(v) for k, v in TEXTS.items()} | {"fn_json_base64": fn_json_base64}
-SQL = {k: render(v, OTHER) for k, v in TEXTS.items()} | {"fn_json_base64": "SELECT event_id, CAST(props ->> '$.k' AS BIGINT) AS k FROM events"}
+def ddl_view(spark: SparkSession, d: str) -> DataFrame:
+    """A script of several statements: a view with named columns, a query over it, and its removal."""
+    orders = {"shown_orders": table(spark, d, "orders")}
+    made = QuerySpec("ddl", "CREATE OR REPLACE TEMP VIEW spent (who, total) AS SELECT o_custkey, round(sum(o_totalprice), 2) FROM shown_orders GROUP BY o_custkey; SELECT who, total FROM spent WHERE total > 2000000;", orders).plan(spark)
+    spark.sql("DROP VIEW spent")
+    return made
+
+
+QUERIES = {k: query(v) for k, v in TEXTS.items()} | {"fn_json_base64": fn_json_base64, "ddl_view": ddl_view}
+SQL = {k: render(v, OTHER) for k, v in TEXTS.items()} | {"fn_json_base64": "SELECT event_id, CAST(props ->> '$.k' AS BIGINT) AS k FROM events", "ddl_view": "SELECT o_custkey AS who, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY o_custkey HAVING round(sum(o_totalprice), 2) > 2000000"}

@@ -36,9 +36,10 @@ class Sink:
         else:
             df.write.mode(self.mode).format(self.kind).option("header", "true").save(self.path)
 
-    def start(self, df: DataFrame, checkpoint: str, output_mode: str = "append") -> StreamingQuery:
-        """Run a streaming df over what is there now, exactly once for each checkpoint."""
-        writer = df.writeStream.outputMode(output_mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    def start(self, df: DataFrame, checkpoint: str, output_mode: str = "append", every: str | None = None) -> StreamingQuery:
+        """Run a streaming df over what is there now, or with every (such as "1 second") again and again; exactly once for each checkpoint."""
+        writer = df.writeStream.outputMode(output_mode).option("checkpointLocation", checkpoint)
+        writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
         if self.kind == "blackhole":
             return writer.format("noop").start()
         if self.kind == "memory":

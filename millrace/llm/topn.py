@@ -40,24 +40,24 @@ def histogram(df: DataFrame, group: str, score: str, item: str) -> DataFrame:
 Order = list[tuple[str, bool]]
 
 
-def _packed(df: DataFrame, group: str, item: str, order: Order) -> DataFrame:
-    """df's rows whole beside what ranking needs, so their column names can't clash with its own."""
-    keys = [F.col(f"`{c}`").alias(f"__k{i}") for i, (c, _) in enumerate(order)]
-    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("__row"), F.col(f"`{group}`").alias("__group"), F.col(f"`{item}`").alias("__item"), *keys)
+def _named(df: DataFrame, group: str, item: str, order: Order) -> tuple[DataFrame, str, str, Order]:
+    """df with its columns renamed by their place, so they can't clash with those that ranking adds, and the names that follow."""
+    place = {c: f"__c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*place.values()), place[group], place[item], [(place[c], down) for c, down in order]
 
 
-def _best(rows: DataFrame, order: Order, n: int, shards: int) -> DataFrame:
-    by = [F.col(f"__k{i}").desc_nulls_last() if down else F.col(f"__k{i}").asc_nulls_last() for i, (_, down) in enumerate(order)]
-    shard = F.pmod(F.xxhash64("__item"), F.lit(shards)).cast("int") if shards > 1 else F.lit(0)
-    one = rows.withColumn("__shard", shard).repartition("__group", "__shard").dropDuplicates(["__group", "__shard", "__item"])
-    best = one.withColumn("__place", F.row_number().over(Window.partitionBy("__group", "__shard").orderBy(*by))).where(F.col("__place") <= n)
+def _best(rows: DataFrame, group: str, order: Order, item: str, n: int, shards: int) -> DataFrame:
+    by = [F.col(c).desc_nulls_last() if down else F.col(c).asc_nulls_last() for c, down in order]
+    shard = F.pmod(F.xxhash64(item), F.lit(shards)).cast("int") if shards > 1 else F.lit(0)
+    one = rows.withColumn("__shard", shard).repartition(group, "__shard").dropDuplicates([group, "__shard", item])
+    best = one.withColumn("__place", F.row_number().over(Window.partitionBy(group, "__shard").orderBy(*by))).where(F.col("__place") <= n)
     if shards > 1:
-        best = best.withColumn("__place", F.row_number().over(Window.partitionBy("__group").orderBy(*by))).where(F.col("__place") <= n)
-    return best
+        best = best.withColumn("__place", F.row_number().over(Window.partitionBy(group).orderBy(*by))).where(F.col("__place") <= n)
+    return best.drop("__shard")
 
 
-def _unpacked(best: DataFrame, columns: list[str]) -> DataFrame:
-    return best.select(*(F.col(f"__row.`{c}`") for c in columns if c != "place"), F.col("__place").alias("place"))
+def _renamed(best: DataFrame, columns: list[str]) -> DataFrame:
+    return best.select(*(F.col(f"__c{i}").alias(c) for i, c in enumerate(columns) if c != "place"), F.col("__place").alias("place"))
 
 
 def rank(df: DataFrame, group: str, order: Order, item: str, n: int, shards: int = 1) -> DataFrame:
@@ -65,7 +65,8 @@ def rank(df: DataFrame, group: str, order: Order, item: str, n: int, shards: int
 
     Copies share a shard, so with shards > 1 no task holds a whole group and the last step sees at most n * shards rows of one.
     """
-    return _unpacked(_best(_packed(df, group, item, order), order, n, shards), df.columns)
+    rows, g, i, by = _named(df, group, item, order)
+    return _renamed(_best(rows, g, by, i, n, shards), df.columns)
 
 
 def top_n(df: DataFrame, group: str, score: str, order: Order, item: str, n: int, max_large: int = 20_000, shards: int = 64) -> DataFrame:
@@ -81,12 +82,12 @@ def top_n(df: DataFrame, group: str, score: str, order: Order, item: str, n: int
     """
     if not 0 < n <= 64 or order[0] != (score, True) or order[-1][0] != item:
         raise ValueError("n must be 1 to 64, and order must begin with the score, descending, and end with the item")
-    whole = df.where(F.col(f"`{group}`").isNotNull() & F.col(f"`{score}`").isNotNull())
-    base = _packed(whole, group, item, order).withColumn("__score", F.col("__k0").cast("long"))
+    rows, g, i, by = _named(df, group, item, order)
+    score_ = by[0][0]
+    base = rows.where(F.col(g).isNotNull() & F.col(score_).isNotNull())
     limit = max(64 * n, df.count() // max_large)
-    large = base.groupBy("__group").agg(F.count("*").alias("__n")).where(F.col("__n") > limit).select("__group")
-    cut = F.broadcast(thresholds(histogram(base.join(F.broadcast(large), "__group", "left_semi"), "__group", "__score", "__item"), "__group", n))
-    small = base.join(cut, "__group", "left_anti")
-    high = base.join(cut, "__group").where(bucket(F.col("__score")) >= F.col("threshold"))
-    best = _best(small, order, n, 1).select("__row", "__place").unionByName(_best(high.select(*small.columns), order, n, shards).select("__row", "__place"))
-    return _unpacked(best, df.columns)
+    large = base.groupBy(g).agg(F.count("*").alias("__n")).where(F.col("__n") > limit).select(g)
+    cut = F.broadcast(thresholds(histogram(base.join(F.broadcast(large), g, "left_semi"), g, score_, i), g, n))
+    small = base.join(cut, g, "left_anti")
+    high = base.join(cut, g).where(bucket(F.col(score_)) >= F.col("threshold")).drop("threshold")
+    return _renamed(_best(small, g, by, i, n, 1).unionByName(_best(high, g, by, i, n, shards)), df.columns)

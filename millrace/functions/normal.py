@@ -12,7 +12,7 @@ BLANKS = " \t\r\n\f\v"
 def bare_uuid(column: Column) -> Column:
     """The 32 hexadecimal digits of a UUID in lower case, without hyphens, braces and blanks; null where there aren't 32."""
     digits = F.translate(F.lower(column), "-{}" + BLANKS, "")
-    return F.when(F.length(digits) == 32, digits)
+    return F.get(F.filter(F.array(digits), lambda x: F.length(x) == 32), F.lit(0))  # evaluates digits once
 
 
 def dashed_uuid(digits: Column) -> Column:

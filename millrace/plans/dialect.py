@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -75,9 +76,9 @@ def render(text: Text, dialect: Dialect) -> str:
     return text if isinstance(text, str) else text(dialect)
 
 
-def register_tables(spark: SparkSession, folder: str) -> None:
-    """Views over the relational and event tables of a data folder."""
-    for name in TABLES:
+def register_tables(spark: SparkSession, folder: str, text: str | None = None) -> None:
+    """Views over the tables of a data folder, or only over those that text names."""
+    for name in TABLES if text is None else [t for t in TABLES if re.search(rf"\b{t}\b", text)]:
         if os.path.isdir(folder) and exists(folder, name) or "://" in folder:
             table(spark, folder, name).createOrReplaceTempView(name)
 
@@ -86,7 +87,8 @@ def query(text: Text) -> Callable[[SparkSession, str], DataFrame]:
     """The Spark query of a text."""
 
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        register_tables(spark, folder)
-        return spark.sql(render(text, SPARK))
+        shown = render(text, SPARK)
+        register_tables(spark, folder, shown)
+        return spark.sql(shown)
 
     return run

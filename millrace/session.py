@@ -54,6 +54,15 @@ def broadcast_up_to(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores if its input comes in fewer than half as many pieces, as small files do; else df as it is.
+
+    For scans that feed costly work. Counting the pieces plans the scan and reads nothing.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def tasks(spark: SparkSession) -> int:
     """Reduce tasks of one shuffle."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -26,15 +26,19 @@ FULL = int(BITS * (1 - math.exp(-2)))
 STANDARD_ERROR = math.sqrt(0.73 / BITS)
 
 
-def cell(identifier: Column) -> Column:
-    """Where an identifier's bit is: struct(slice int, word int, mask bigint); null for a null identifier."""
-    h = F.xxhash64(identifier)
+def with_cell(df: DataFrame, identifier: Column, at: str = "cell") -> DataFrame:
+    """df with the place of an identifier's bit in column at: struct(slice int, word int, mask bigint); null for a null identifier.
+
+    Identifier and hash are columns on the way, so each is computed once a row.
+    """
+    h = F.col("__hash")
     high = F.shiftrightunsigned(h, 12)
     slice_ = F.least(F.bit_count(high.bitwiseAND(-high) - 1), F.lit(SLICES - 1)).cast("int")
     low = h.bitwiseAND(F.lit(BITS - 1).cast("long"))
     word = F.shiftright(low, 6).cast("int")
     mask = F.call_function("shiftleft", F.lit(1).cast("long"), low.bitwiseAND(F.lit(63).cast("long")).cast("int"))
-    return F.when(identifier.isNotNull(), F.struct(slice_.alias("slice"), word.alias("word"), mask.alias("mask")))
+    place = F.when(F.col("__id").isNotNull(), F.struct(slice_.alias("slice"), word.alias("word"), mask.alias("mask")))
+    return df.withColumn("__id", identifier).withColumn("__hash", F.xxhash64("__id")).withColumn(at, place).drop("__id", "__hash")
 
 
 def bitmaps(df: DataFrame, groups: Sequence[str], at: str = "cell") -> DataFrame:

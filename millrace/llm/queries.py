@@ -9,7 +9,7 @@ from millrace.catalog import table
 from millrace.functions.normal import bare_uuid, label
 from millrace.functions.times import DAY_MS, day_text, floor_div, millis
 from millrace.llm import distinct, leakage, mixing, stuffing, topn
-from millrace.session import broadcast_up_to, cut_lineage
+from millrace.session import broadcast_up_to, cut_lineage, spread
 
 NONE = "(none)"
 
@@ -25,13 +25,14 @@ def _bid_bitmaps(spark: SparkSession, d: str) -> DataFrame:
     is no hotter than the words of its days.
     """
     bid = table(spark, d, "bid").where("b_date_time IS NOT NULL").select("auction", _day("b_date_time").alias("day"), "bidder")
-    words = bid.withColumn("cell", distinct.cell(F.col("bidder"))).select("auction", "day", "cell.slice", "cell.word", "cell.mask")
+    words = distinct.with_cell(bid, F.col("bidder")).select("auction", "day", "cell.slice", "cell.word", "cell.mask")
     words = words.groupBy("auction", "day", "slice", "word").agg(F.bit_or("mask").alias("mask"))
     category = table(spark, d, "auction").where("a_id IS NOT NULL").groupBy(F.col("a_id").alias("auction")).agg(F.max("category").alias("category"))
     told = words.join(category, "auction", "left").withColumn("category", F.coalesce(F.col("category").cast("string"), F.lit(NONE)))
+    told = distinct.with_cell(told, F.col("auction"), "own")
     both = F.array(
         F.struct(F.lit("bid.bidder").alias("field"), F.when(F.col("slice").isNotNull(), F.struct("slice", "word", "mask")).alias("cell")),
-        F.struct(F.lit("bid.auction").alias("field"), distinct.cell(F.col("auction")).alias("cell")),
+        F.struct(F.lit("bid.auction").alias("field"), F.col("own").alias("cell")),
     )
     return distinct.bitmaps(told.select("day", "category", F.explode(both).alias("x")).select("x.field", "day", "category", "x.cell"), ["field", "day", "category"])
 
@@ -41,8 +42,9 @@ def _ad_bitmaps(spark: SparkSession, d: str) -> DataFrame:
     campaign = table(spark, d, "campaign").select(bare_uuid(F.col("c_ad_id")).alias("ad"), bare_uuid(F.col("campaign_id")).alias("campaign")).where("ad IS NOT NULL")
     campaign = broadcast_up_to(campaign.groupBy("ad").agg(F.min("campaign").alias("campaign")), 100_000)
     ads = table(spark, d, "ad_event").where("event_time IS NOT NULL AND user_id IS NOT NULL").select(
-        _day("event_time").alias("day"), label(F.col("ad_type")).alias("ad_type"), label(F.col("event_type")).alias("event_type"), bare_uuid(F.col("ad_id")).alias("ad"), distinct.cell(bare_uuid(F.col("user_id"))).alias("cell")
+        _day("event_time").alias("day"), label(F.col("ad_type")).alias("ad_type"), label(F.col("event_type")).alias("event_type"), bare_uuid(F.col("ad_id")).alias("ad"), bare_uuid(F.col("user_id")).alias("user")
     )
+    ads = distinct.with_cell(ads, F.col("user"))
     dims = ["ad_type", "event_type", "campaign"]
     told = ads.join(campaign, "ad", "left").select("day", *(F.coalesce(c, F.lit(NONE)).alias(c) for c in dims), "cell")
     return distinct.bitmaps(told, ["day", *dims])
@@ -93,31 +95,31 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_item"))
+    return leakage.leaks(spread(table(spark, d, "documents").select("doc_id", "text")), table(spark, d, "eval_item"))
 
 
 def p8_near(spark: SparkSession, d: str) -> DataFrame:
     """Passages of 20 words with one word changed, dropped or put in, or none."""
-    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_item"), leakage.Settings(edits=1))
+    return leakage.leaks(spread(table(spark, d, "documents").select("doc_id", "text")), table(spark, d, "eval_item"), leakage.Settings(edits=1))
 
 
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
     """The documents drawn to meet mix_target, with their copies."""
-    return mixing.mixed(table(spark, d, "documents"), table(spark, d, "mix_target"))[0]
+    return mixing.mixed(spread(table(spark, d, "documents").select("doc_id", "source", "text")), table(spark, d, "mix_target"))[0]
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     """The shares that p9_mix reaches."""
-    return mixing.mixed(table(spark, d, "documents"), table(spark, d, "mix_target"))[1]
+    return mixing.mixed(spread(table(spark, d, "documents").select("doc_id", "source", "text")), table(spark, d, "mix_target"))[1]
 
 
 def p9_tempered_shares(spark: SparkSession, d: str) -> DataFrame:
     """The shares of the mix that is as even as mix_target, by one exponent of the sources' own shares."""
-    return mixing.mixed(table(spark, d, "documents"), table(spark, d, "mix_target"), towards_targets=False)[1]
+    return mixing.mixed(spread(table(spark, d, "documents").select("doc_id", "source", "text")), table(spark, d, "mix_target"), towards_targets=False)[1]
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return stuffing.stuffed(table(spark, d, "documents")).select("doc_id")
+    return stuffing.stuffed(spread(table(spark, d, "documents").select("doc_id", "text"))).select("doc_id")
 
 
 QUERIES = {f.__name__: f for f in (p1_distinct_ids, p7_found, p8_found, p8_near, p9_mix, p9_shares, p9_tempered_shares, p10_found)}

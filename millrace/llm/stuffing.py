@@ -1,17 +1,18 @@
 """Keyword-stuffed and link-list pages: incoherent word salad and excessively repeated collocations.
 
-Two passes over whole texts. The first counts words and pairs of neighbouring words of the whole corpus into two tables of
-fixed size, indexed by hash (whatever the corpus, 2**WORD_BITS and 2**PAIR_BITS counts; a pair shares its count with
-about 1 / 2**PAIR_BITS of the corpus, which is subtracted). Copies of a text within a task count once and a word of a very
-long text counts less, so neither a text copied over a third of the corpus nor a huge one makes its own words usual. The second gives each text, from the corpus without itself:
+A text is judged by itself: it is read line by line, as to which words stand in link entries, in tags or in repeated phrases,
+and which in sentences, code or data. So neither its copies nor a family of similar pages, however large, can hide it.
+
+For a closer look each text's statistics against the corpus can be had besides. One pass counts words and pairs of
+neighbouring words of the whole corpus into two tables of fixed size, indexed by hash (whatever the corpus, 2**WORD_BITS
+and 2**PAIR_BITS counts; a pair shares its count with about 1 / 2**PAIR_BITS of the corpus, which is subtracted). Copies
+of a text within a task count once and a word of a very long text counts less. From the corpus without itself a text gets
 
 * its coherence, the mean pointwise mutual information of neighbouring words, discounted where the rest of the corpus
   says little: near 0 if the words meet nowhere else, as in word salad and lists of links;
 * the share of its pairs that are repeated collocations, far beyond what the corpus lets expect.
 
-A text that is incoherent or excessively repetitive is a suspect. Tables of numbers, dictionaries and generated code are
-suspects too, so a suspect is then read line by line: which words stand in link entries, in tags or in repeated phrases, and
-which in sentences, code or data.
+Both depend on what else the corpus holds (many similar pages make their own words usual), so they decide nothing.
 """
 
 from __future__ import annotations
@@ -243,39 +244,40 @@ def anatomy(text: str, words: int | None = None) -> Anatomy:
     return out
 
 
-#: A text below this coherence or above this share of repetition is a suspect.
-COHERENCE = 1.0
-REPETITION = 0.15
+#: A text of fewer words is never spam.
 MIN_WORDS = 20
 
 
-def _judge(corpus_of: Callable[[], Corpus], features: bool) -> Callable:
+def _judge(corpus_of: Callable[[], Corpus] | None) -> Callable:
+    """Judges every text; with a corpus, tells all texts and their statistics, else only spam."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        corpus = corpus_of()
+        corpus = corpus_of() if corpus_of else None
         for batch in batches:
             for start in range(0, batch.num_rows, _ROWS):
                 part = batch.slice(start, _ROWS)
                 words = words_of(part.column(1))
-                value, share = coherence(words, corpus)
-                spam = (words.counts >= MIN_WORDS) & ((value < COHERENCE) | (share > REPETITION))
+                spam = words.counts >= MIN_WORDS
                 for i in np.flatnonzero(spam):
                     spam[i] = anatomy(part.column(1)[int(i)].as_py().decode("utf-8", "replace"), int(words.counts[i])).spam
-                shown = np.arange(len(spam)) if features else np.flatnonzero(spam)
-                if len(shown):
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column(0).take(pa.array(shown)), pa.array(value[shown]), pa.array(share[shown]), pa.array(spam[shown])], names=["doc_id", "coherence", "repetition", "spam"]
-                    )
+                if corpus:
+                    value, share = coherence(words, corpus)
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(value), pa.array(share), pa.array(spam)], names=["doc_id", "coherence", "repetition", "spam"])
+                elif spam.any():
+                    yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(spam))], names=["doc_id"])
 
     return run
 
 
 def stuffed(documents: DataFrame, features: bool = False) -> DataFrame:
-    """(doc_id, coherence, repetition, spam) of documents(doc_id, text) that are spam; with features, of all with a text.
+    """(doc_id) of documents(doc_id, text) that are spam; with features, (doc_id, coherence, repetition, spam) of all with a text.
 
     Null texts and ids give no row; a text with fewer than MIN_WORDS words is never spam; whole texts are read, however
     long. Each row is judged by itself, so repeated rows give repeated results. No document is shuffled.
     """
     texts = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    if not features:
+        return texts.mapInArrow(_judge(None), "doc_id bigint")
     corpus = corpus_counts(texts.select("text"))
     sent = documents.sparkSession.sparkContext.broadcast((corpus.words, corpus.pairs))
-    return texts.mapInArrow(_judge(lambda: Corpus(*sent.value), features), "doc_id bigint, coherence double, repetition double, spam boolean")
+    return texts.mapInArrow(_judge(lambda: Corpus(*sent.value)), "doc_id bigint, coherence double, repetition double, spam boolean")

@@ -69,6 +69,19 @@ def test_a_third_of_the_rows_may_be_copies(spark):
     assert {r["doc_id"] for r in stuffing.stuffed(df).collect()} == {d for d, _ in rows if d >= 10_000}
 
 
+def test_a_third_of_the_rows_may_be_altered_copies(spark):
+    rng = random.Random(9)
+    rows = [(i, " ".join(f"The q{rng.randrange(90)} is kept with a q{rng.randrange(90)} until it has to go." for _ in range(12))) for i in range(1200)]
+    wrappers = [("", ""), ("/*\n", "\n*/\n"), ("<ul>\n", "</ul>\n"), ("# \n", "")]
+    for i in range(600):  # one word changed, another wrapper
+        lines = SPAM["anchors" if i % 2 else "phrases"].splitlines()
+        lines[rng.randrange(len(lines))] += f" r{i}"
+        before, after = rng.choice(wrappers)
+        rows.append((10_000 + i, before + "\n".join(lines) + after))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(24)
+    assert {r["doc_id"] for r in stuffing.stuffed(df).collect()} == {d for d, _ in rows if d >= 10_000}
+
+
 def test_corpus_counts(spark):
     texts = ["a b a b c", "b c", "", "c " * 50, "d", "e f " * 4000]
     df = spark.createDataFrame([(t.encode(),) for t in texts * 3], "text binary").coalesce(1)

@@ -74,13 +74,14 @@ def _best_by_category(spark: SparkSession, d: str, n: int) -> DataFrame:
     """The best bids of each category.
 
     Each auction's highest price stands for one bid, so a histogram of these prices per category gives a safe threshold
-    before any bid meets its category. Only auctions that reach it can hold a winner, and of these only bids that reach it.
+    before any bid meets its category, if it holds n auctions at or above it. Only auctions that reach it can hold a winner, and of
+    these only bids that reach it. A category without so many auctions has no threshold: all its bids are ranked.
     """
     bids = _ranked_bids(spark, d)
     best = bids.groupBy("auction").agg(F.max("price").alias("price"))
     category = table(spark, d, "auction").where("a_id IS NOT NULL AND category IS NOT NULL").groupBy(F.col("a_id").alias("auction")).agg(F.max("category").alias("category"))
     told = best.join(category, "auction")
-    cut = topn.thresholds(topn.histogram(told, "category", "price", "auction"), "category", n)
+    cut = topn.thresholds(topn.histogram(told, "category", "price", "auction"), "category", n, partial=True)
     reach = told.join(cut, "category").where(topn.bucket(F.col("price")) >= F.col("threshold")).select("auction", "category", "threshold")
     reach = broadcast_up_to(cut_lineage(reach), 200_000)
     high = bids.join(reach, "auction").where(topn.bucket(F.col("price")) >= F.col("threshold"))

@@ -21,14 +21,22 @@ def bucket(score: Column) -> Column:
     return F.when(score > 0, up).otherwise(-1 - down).cast("int")
 
 
-def thresholds(cells: DataFrame, group: str, n: int) -> DataFrame:
+#: Below every bucket.
+_BELOW = -1 - 64 * BUCKETS_PER_OCTAVE
+
+
+def thresholds(cells: DataFrame, group: str, n: int, partial: bool = False) -> DataFrame:
     """(group, threshold): the highest bucket with at least n different items at or above it, or the lowest one.
 
-    cells(group, bucket, mask) is a histogram, with at most 2 * 63 * BUCKETS_PER_OCTAVE buckets for a group.
+    cells(group, bucket, mask) is a histogram, with at most 2 * 63 * BUCKETS_PER_OCTAVE buckets for a group. A partial one doesn't
+    hold all items of a group; where it has fewer than n, items may lie below its lowest bucket, so all buckets are let through.
     """
     above = Window.partitionBy(group).orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
     higher = cells.withColumn("higher", F.coalesce(F.sum(F.bit_count("mask")).over(above), F.lit(0)))
-    return higher.where(F.col("higher") < n).groupBy(group).agg(F.min("bucket").alias("threshold"))
+    lowest = F.min("bucket")
+    if partial:
+        lowest = F.when(F.sum(F.bit_count("mask")) >= n, lowest).otherwise(F.lit(_BELOW))
+    return higher.where(F.col("higher") < n).groupBy(group).agg(lowest.alias("threshold"))
 
 
 def histogram(df: DataFrame, group: str, score: str, item: str) -> DataFrame:

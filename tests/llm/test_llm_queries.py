@@ -1,3 +1,5 @@
+import random
+
 import oracle
 import pytest
 
@@ -30,3 +32,19 @@ def test_distinct_ids_are_within_their_error(spark, con):
     for key, sql in checks.items():
         exact = con.execute(sql).fetchall()[0][0]
         assert abs(estimate[key] - exact) <= max(1, 4 * queries.distinct.STANDARD_ERROR * exact), key
+
+
+def test_best_bids_of_a_category_with_few_auctions(spark, tmp_path):
+    rng = random.Random(5)
+    prices = {1: [100, 95], 2: [90], 3: [80, 50, 40, 30, 20, 10, 9], 4: [10**6, *(rng.randrange(1, 10**6) for _ in range(3000))], 5: [7, -3, 0]}
+    prices |= {100 + i: [rng.randrange(1, 10**6) for _ in range(5)] for i in range(200)}
+    category = {1: 10, 2: 10, 3: 10, 4: 11, 5: 12} | {a: 13 for a in prices if a >= 100}
+    bids = [(i, a, p) for i, (a, p) in enumerate((a, p) for a, own in prices.items() for p in own)]
+    spark.createDataFrame(bids + bids[:500], "bid_id bigint, auction bigint, price bigint").selectExpr("*", "CAST(NULL AS TIMESTAMP_NTZ) AS b_date_time").write.parquet(f"{tmp_path}/bid.parquet")
+    spark.createDataFrame(list(category.items()), "a_id bigint, category bigint").write.parquet(f"{tmp_path}/auction.parquet")
+    want = set()
+    for c in set(category.values()):
+        best = sorted((-p, i) for i, a, p in bids if category[a] == c)[:10]
+        want |= {(c, place, i) for place, (_, i) in enumerate(best, 1)}
+    got = [(r["group_key"], r["place"], r["bid_id"]) for r in queries.p7_found(spark, str(tmp_path)).where("level = 'category'").collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) == 33

@@ -8,7 +8,8 @@ Texts become words. Every window of ``window`` words of an item is looked for am
    step. Windows at edit distance k come out at Hamming distance O(k * k) with high probability, equal ones equal.
 3. Bit-sampling LSH: each repetition makes a walk of its own and compares hashes of a few sampled steps. The number of
    repetitions follows from the target recall; for equal windows one is enough.
-4. Exact verification of every candidate: equality for no edits, else the edit distance of the words.
+4. Exact verification of every candidate: equality for no edits, else the least edit distance of the item's window to the
+   spans of ``window - edits`` to ``window + edits`` words that begin at the document's, so a dropped or inserted word costs one.
 
 The items are a stated query set, which goes to every task in blocks of bounded size; documents aren't shuffled.
 """
@@ -53,12 +54,12 @@ class Settings:
         return repetitions_for(self) if self.edits else 1
 
 
-def _walk(code: np.ndarray, bits: np.ndarray, starts: np.ndarray, window: int, sampled: list[int]) -> np.ndarray:
-    """Hashes of the sampled steps of the walks over windows at starts. Behind its window a walk writes a pad.
+def _walk(code: np.ndarray, bits: np.ndarray, starts: np.ndarray, end: np.ndarray, sampled: list[int]) -> np.ndarray:
+    """Hashes of the sampled steps of the walks over windows from starts to end. Behind its window a walk writes a pad.
 
     code and bits have one entry more than there are words: the pad's.
     """
-    end, at, pad = starts + window, starts.copy(), len(code) - 1
+    at, pad = starts.copy(), len(code) - 1
     out = np.zeros(len(starts), np.uint64)
     for step in range(sampled[-1] + 1):
         inside = at < end
@@ -80,12 +81,13 @@ class Embedding:
         n = settings.repetitions if repetitions is None else repetitions
         self.each = [(rng.integers(1, 2**63, dtype=np.uint64), sorted(rng.choice(steps, settings.samples, replace=False).tolist())) for _ in range(n)]
 
-    def signatures(self, ids: np.ndarray, starts: np.ndarray) -> Iterator[np.ndarray]:
-        """For each repetition, hashes of the windows of word ids at starts."""
+    def signatures(self, ids: np.ndarray, starts: np.ndarray, ends: np.ndarray | None = None) -> Iterator[np.ndarray]:
+        """For each repetition, hashes of the windows of word ids at starts; ends tells where they end if some are shorter."""
+        ends = starts + self.s.window if ends is None else ends
         code = np.append(mixed((ids + 2).astype(np.uint64) * _GOLDEN), np.uint64(0))
         for salt, sampled in self.each:
             bits = mixed(code ^ salt)
-            yield _walk(code, bits, starts, self.s.window, sampled)
+            yield _walk(code, bits, starts, ends, sampled)
 
 
 @functools.lru_cache
@@ -115,10 +117,11 @@ def repetitions_for(s: Settings, pairs: int = 400, walks: int = 200) -> int:
     return 400
 
 
-def within_edits(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+def within_edits(a: np.ndarray, b: np.ndarray, most: int, free_end: bool = False) -> np.ndarray:
     """Whether rows of a and b, words of equal length, are at most ``most`` word edits apart; a negative word equals none.
 
-    A band of the distance table, 2 * most + 1 wide, for all rows at once.
+    With free_end, b has ``most`` words more, and a is held against each of its beginnings; behind the end of a text b
+    has negative words, which never bring a closer. A band of the distance table, 2 * most + 1 wide, for all rows at once.
     """
     n, width, size = len(a), 2 * most + 1, a.shape[1]
     far = most + 1
@@ -129,7 +132,7 @@ def within_edits(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
         new = np.full((n, width), far, np.int64)
         for d in range(width):
             j = i + d - most
-            if not 0 <= j <= size:
+            if not 0 <= j <= b.shape[1]:
                 continue
             best = row[:, d + 1] + 1 if d + 1 < width else np.full(n, far)
             if j == 0:
@@ -141,7 +144,7 @@ def within_edits(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
                 best = np.minimum(best, new[:, d - 1] + 1)
             new[:, d] = np.minimum(best, far)
         row = new
-    return row[:, most] <= most
+    return (row.min(axis=1) if free_end else row[:, most]) <= most
 
 
 class Index:
@@ -166,11 +169,14 @@ class Index:
         if len(self.vocabulary):
             at = np.minimum(np.searchsorted(self.vocabulary, words.hashes), len(self.vocabulary) - 1)
             ids = np.where(self.vocabulary[at] == words.hashes, at, -1)
-        starts = _windows(words.text, s.window)
+        # a passage that lost words may end its text, so windows there may be shorter
+        starts, stop = _windows(words.text, s.window - s.edits), np.cumsum(words.counts)
+        ends = np.minimum(starts + s.window, stop[words.text[starts]]) if s.edits else starts + s.window
         outside = np.concatenate(([0], np.cumsum(ids < 0)))
-        starts = starts[outside[starts + s.window] - outside[starts] <= s.edits]
+        likely = outside[ends] - outside[starts] <= s.edits
+        starts, ends = starts[likely], ends[likely]
         pairs = []
-        for signature, (keys, order) in zip(self.embedding.signatures(ids, starts), self.table, strict=True):
+        for signature, (keys, order) in zip(self.embedding.signatures(ids, starts, ends), self.table, strict=True):
             lo, hi = np.searchsorted(keys, signature, "left"), np.searchsorted(keys, signature, "right")
             hit = np.flatnonzero(hi > lo)
             many = hi[hit] - lo[hit]
@@ -182,15 +188,19 @@ class Index:
         found = [np.zeros((0, 2), np.int64)]
         for k in range(0, len(candidates), 100_000):
             mine, theirs = np.divmod(candidates[k : k + 100_000], len(self.starts))
-            near = self._near(ids, mine, theirs)
+            near = self._near(ids, stop[words.text[mine]], mine, theirs)
             found.append(np.stack([words.text[mine[near]], self.owner[theirs[near]]], axis=1))
         found = np.unique(np.concatenate(found), axis=0)
         return found[:, 0], found[:, 1]
 
-    def _near(self, ids: np.ndarray, mine: np.ndarray, theirs: np.ndarray) -> np.ndarray:
-        span = np.arange(self.s.window)
-        a, b = ids[mine[:, None] + span], self.ids[self.starts[theirs][:, None] + span]
-        return within_edits(a, b, self.s.edits) if self.s.edits else (a == b).all(axis=1)
+    def _near(self, ids: np.ndarray, stop: np.ndarray, mine: np.ndarray, theirs: np.ndarray) -> np.ndarray:
+        """Whether the text that ends at stop has, from mine on, a passage near the item's window theirs."""
+        edits, span = self.s.edits, np.arange(self.s.window)
+        item = self.ids[self.starts[theirs][:, None] + span]
+        if not edits:
+            return (ids[mine[:, None] + span] == item).all(axis=1)
+        at = mine[:, None] + np.arange(self.s.window + edits)
+        return within_edits(item, np.where(at < stop[:, None], ids[np.minimum(at, len(ids) - 1)], -1), edits, free_end=True)
 
 
 def _windows(text: np.ndarray, size: int) -> np.ndarray:
@@ -228,7 +238,7 @@ def _blocks(items: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, byte
 def leaks(documents: DataFrame, items: DataFrame, settings: Settings | None = None, block_bytes: int = 16_000_000) -> DataFrame:
     """(doc_id, item_id), all different: documents(doc_id, text) that hold a passage of items(item_id, text).
 
-    Null texts, texts with fewer words than a window, and empty tables give no rows; whole texts are searched, however
+    Null texts, items with fewer words than a window, documents with fewer than a window less the edits, and empty tables give no rows; whole texts are searched, however
     long. An item_id with several texts leaks if one of them does. Items come to the driver and go to the tasks in
     blocks of about block_bytes of text, each searched in its own pass, so their number isn't bounded by memory.
     """

@@ -109,3 +109,45 @@ def test_recall_of_edited_passages():
         found = {(p, i) for p, i in zip(place.tolist(), item.tolist(), strict=True)}
         recall = sum((i, i) in found for i in range(200)) / 200
         assert recall >= 0.95, (edits, recall)
+
+
+def test_dropped_and_inserted_words_cost_one_edit():
+    rng = random.Random(13)
+    for edits in (1, 2):
+        items = [(i, t.encode()) for i, t in enumerate(_texts(rng, 200, 20, 5000))]
+        for kind in ("drop", "insert"):
+            for tail in ("", " x1 x2 x3"):  # the passage may end its text
+                docs = []
+                for _, text in items:
+                    w = text.decode().split()
+                    for _ in range(edits):
+                        at = rng.randrange(1, len(w) - 1)
+                        w[at : at + (kind == "drop")] = [] if kind == "drop" else ["y0"]
+                    docs.append((" ".join(w) + tail).encode())
+                place, item = leakage.Index(items, leakage.Settings(edits=edits)).search(pa.array(docs, pa.binary()))
+                found = set(zip(place.tolist(), item.tolist(), strict=True))
+                assert sum((i, i) in found for i in range(200)) >= 190, (edits, kind, tail)
+
+
+def test_a_word_put_in_after_every_twelfth(spark):
+    w = _texts(random.Random(14), 1, 60, 5000)[0].split()
+    doc = " ".join(x + " y0" * (i % 12 == 0) for i, x in enumerate(w, 1))
+    d, i = spark.createDataFrame([(1, doc)], "doc_id bigint, text string"), spark.createDataFrame([(2, " ".join(w))], "item_id bigint, text string")
+    assert [tuple(r) for r in leakage.leaks(d, i, leakage.Settings(edits=1)).collect()] == [(1, 2)]
+
+
+def test_free_end_of_the_banded_distance():
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 6, (400, 12))
+    for most in (1, 2):
+        b = np.concatenate([a, rng.integers(-1, 6, (400, most))], axis=1)
+        for r in b:
+            for _ in range(rng.integers(0, 4)):
+                at = rng.integers(0, 12)
+                if rng.random() < 0.5:
+                    r[at:-1] = r[at + 1 :]
+                else:
+                    r[at + 1 :] = r[at:-1].copy()
+                    r[at] = -1
+        want = [min(_distance(x, y[:j]) for j in range(12 - most, 12 + most + 1)) <= most for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+        assert leakage.within_edits(a, b, most, free_end=True).tolist() == want and 0 < sum(want) < 400

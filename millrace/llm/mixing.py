@@ -1,9 +1,9 @@
 """Mixing sources to target weights, in tokens, with capped repetition.
 
-Weights come from a tempered family over the sources that have documents: ``share**(1 - a) * target**a``, normalised, where
-share is a source's own share of tokens. a = 1 is the target and a = 0 the corpus as it is; the largest a is bisected
-at which no source must repeat more often than allowed. Without targets the family is ``share**t`` and t is bisected to
-reach a target entropy, held back by the same limits.
+Sources that have documents get their target, rescaled to a sum of 1. A source that would have to repeat more often than
+allowed gets what its limit holds, and the others share the rest in proportion to their targets, until none is over its limit: a source
+with too few documents is the same case as one with none. Without targets the weights are ``share**t``, where share is a
+source's own share of tokens, and t is bisected to reach a target entropy, held back by the same limits.
 
 A source's token budget becomes whole copies of all its documents and a rest. The rest is taken from a random
 permutation by blocks: documents fall into blocks by hash, blocks are taken in permuted order while they fit, and
@@ -94,7 +94,11 @@ def _bisect(holds: Callable[[float], bool], low: float, high: float) -> float:
 
 @dataclass
 class Mix:
-    """Per source: tokens available, target weight (None: no target), the most copies of a document, and the budget in tokens."""
+    """Per source: tokens available, target weight (None: no target), the most copies of a document, and the budget in tokens.
+
+    exponent: with targets, the largest a at which ``share**(1 - a) * target**a`` keeps within all limits, 1 if all targets can be
+    met; it tells how far off they are and doesn't make the budgets. Without targets, the exponent of the shares.
+    """
 
     sources: list[str]
     tokens: dict[str, int]
@@ -109,7 +113,7 @@ def solve(tokens: dict[str, int], targets: dict[str, float] | None, repeats: dic
     """Budgets per source.
 
     tokens: of every source with documents. targets: weights of the listed sources; only these are mixed. A listed source
-    without documents gets nothing and the others share its weight in proportion. Without targets all sources of repeats are
+    without documents gets nothing, one with too few what its limit holds, and the others share the rest in proportion. Without targets all sources of repeats are
     mixed, towards target_entropy (by default: all alike). budget: tokens of the output, by default those available.
     A budget beyond what all copies together hold is cut down to that.
     """
@@ -129,13 +133,12 @@ def solve(tokens: dict[str, int], targets: dict[str, float] | None, repeats: dic
         wanted /= wanted.sum()
         weights = lambda a: tempered(shares, a, wanted)
         mix.exponent = _bisect(lambda a: fits(weights(a)), 0.0, 1.0)
+        final = _filled(wanted * mix.budget, limit) / mix.budget
     else:
         aim = math.log(len(there)) if target_entropy is None else target_entropy
         weights = lambda a: tempered(shares, 1 - a)
         a = _bisect(lambda a: entropy(weights(a)) <= aim + 1e-12 and fits(weights(a)), 0.0, 1.0)
-        mix.exponent, flatter = 1 - a, weights(a)
-        weights = lambda _: flatter
-    final = weights(mix.exponent)
+        mix.exponent, final = 1 - a, weights(a)
     if not fits(final):  # the budget exceeds what the corpus as it is can fill: full sources stay full, the others share the rest
         final = _filled(final * mix.budget, limit) / mix.budget
     mix.budgets |= {s: round(w * mix.budget) for s, w in zip(there, final, strict=True)}

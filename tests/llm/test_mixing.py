@@ -57,6 +57,18 @@ def test_solved_weights_respect_limits_and_entropy():
     assert beyond.budgets == {"a": 1000, "b": 100, "c": 0}
 
 
+def test_a_source_with_few_documents_leaves_the_others_their_targets():
+    tokens, targets, repeats = {"a": 6000, "b": 2999, "c": 1000, "d": 1}, {"a": 0.3, "b": 0.3, "c": 0.2, "d": 0.2}, {"a": 4, "b": 4, "c": 4, "d": 4}
+    mix = mixing.solve(tokens, targets, repeats)
+    assert mix.budgets["d"] == 4 and mix.budget == 10_000 and 0 <= mix.exponent < 1
+    for s in "abc":
+        assert abs(mix.budgets[s] - targets[s] / 0.8 * 9996) <= 1
+    none = mixing.solve(tokens | {"d": 0}, targets, repeats, budget=10_000)
+    assert all(abs(mix.budgets[s] - none.budgets[s]) <= 4 for s in tokens)
+    two = mixing.solve(tokens, targets, repeats | {"c": 1, "b": 1})  # one limit brings others to theirs
+    assert two.budgets == {"a": 5997, "b": 2999, "c": 1000, "d": 4}
+
+
 def test_long_texts_are_counted_whole():
     count = mixing.load_tokenizer(mixing.TOKENIZER)
     text = "some words of text\n" * 90_000

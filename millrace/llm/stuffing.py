@@ -244,8 +244,8 @@ def anatomy(text: str, words: int | None = None) -> Anatomy:
     return out
 
 
-#: A text of fewer words is never spam.
-MIN_WORDS = 20
+#: A text without words is never spam; every other is judged.
+MIN_WORDS = 1
 
 
 def _judge(corpus_of: Callable[[], Corpus] | None) -> Callable:
@@ -272,7 +272,7 @@ def _judge(corpus_of: Callable[[], Corpus] | None) -> Callable:
 def stuffed(documents: DataFrame, features: bool = False) -> DataFrame:
     """(doc_id) of documents(doc_id, text) that are spam; with features, (doc_id, coherence, repetition, spam) of all with a text.
 
-    Null texts and ids give no row; a text with fewer than MIN_WORDS words is never spam; whole texts are read, however
+    Null texts and ids give no row; a text without words is never spam; whole texts are read, however
     long. Each row is judged by itself, so repeated rows give repeated results. No document is shuffled.
     """
     texts = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))

@@ -82,6 +82,13 @@ def test_a_third_of_the_rows_may_be_altered_copies(spark):
     assert {r["doc_id"] for r in stuffing.stuffed(df).collect()} == {d for d, _ in rows if d >= 10_000}
 
 
+def test_short_texts_are_judged_too(spark):
+    spam = {1: "tags: lamp, sale, cheap", 2: "#lamp #sale #cheap #new", 3: "https://a.example/x lamp\nhttps://b.example/y sale"}
+    fine = {4: "lamp lamp lamp", 5: "import lamp", 6: "The gate is kept open.", 7: '{"lamp": 3}', 8: "...", 9: "", 10: "lamp"}
+    df = spark.createDataFrame(list((spam | fine).items()), "doc_id bigint, text string")
+    assert {r["doc_id"] for r in stuffing.stuffed(df).collect()} == {*spam}
+
+
 def test_corpus_counts(spark):
     texts = ["a b a b c", "b c", "", "c " * 50, "d", "e f " * 4000]
     df = spark.createDataFrame([(t.encode(),) for t in texts * 3], "text binary").coalesce(1)

@@ -41,9 +41,11 @@ def hot_items(bids: DataFrame, size: str, hop: str, delay: str) -> DataFrame:
 
 
 def highest_bids(bids: DataFrame, size: str, delay: str) -> DataFrame:
-    """One highest bid per tumbling window, the earliest of equals."""
-    best = F.max_by(F.struct("auction", "bidder", "price"), F.struct("price", (-millis(F.col("b_date_time"))).alias("t")))
-    return _flat(_marked(bids, "b_date_time", delay).groupBy(F.window("b_date_time", size)).agg(best.alias("b"))).select("window_start", "b.*")
+    """All bids with the highest price of their tumbling window: bids joined with the windowed maximum."""
+    marked = _marked(bids, "b_date_time", delay)
+    each = marked.select(F.window("b_date_time", size).alias("window"), "auction", "bidder", "price")
+    most = marked.groupBy(F.window("b_date_time", size).alias("again")).agg(F.max("price").alias("most"))
+    return _flat(each.join(most, (F.col("window") == F.col("again")) & (F.col("price") == F.col("most")))).select("window_start", "auction", "bidder", "price")
 
 
 def session_counts(df: DataFrame, key: str, time: str, gap: str, delay: str) -> DataFrame:

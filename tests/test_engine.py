@@ -251,6 +251,20 @@ def test_hot_items_and_highest_bids_in_a_stream(spark, folder, tmp_path):
     assert len(high) >= 4 and all(best[w] == price for w, _, _, price in high)
 
 
+def test_bids_tied_for_the_highest_price_all_come_out(spark, tmp_path):
+    rows = [(i % 7, i % 5, 100 + (i % 10 if i % 10 < 8 else 8), 500 * i) for i in range(120)]  # two of each ten share the highest price
+    (tmp_path / "bid").mkdir()
+    for i in range(3):
+        df = spark.createDataFrame(rows[40 * i : 40 * i + 40], "auction bigint, bidder bigint, price bigint, ms bigint")
+        df = df.withColumn("b_date_time", F.timestamp_millis(F.col("ms") + generators.BASE_TIME_MS).cast("timestamp_ntz")).drop("ms")
+        df.coalesce(1).write.parquet(str(tmp_path / f"bid{i}"))
+        next((tmp_path / f"bid{i}").glob("*.parquet")).rename(tmp_path / "bid" / f"part{i}.parquet")
+    got = _run(spark, streams.highest_bids(_stream(spark, tmp_path, "bid"), "10 seconds", "0 seconds"), tmp_path, "tied")
+    want = [(generators.BASE_TIME_MS + ms // 10_000 * 10_000, a, b, p) for a, b, p, ms in rows if p == 108]
+    done = max(r[0] for r in got)
+    assert done >= generators.BASE_TIME_MS + 40_000 and sorted(got) == sorted(w for w in want if w[0] <= done)
+
+
 def test_joins_in_a_stream(spark, folder, tmp_path):
     a, b = (spark.read.parquet(str(folder / n)) for n in ("auction", "bid"))
     want = b.join(a, F.expr("auction = a_id AND b_date_time BETWEEN a_date_time AND expires")).select("bid_id", "a_id")

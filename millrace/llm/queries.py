@@ -123,7 +123,17 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return stuffing.stuffed(spread(table(spark, d, "documents").select("doc_id", "text"))).select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_distinct_ids, p7_found, p8_found, p8_near, p9_mix, p9_shares, p9_tempered_shares, p10_found)}
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Words and pairs of every document, and those that return within it."""
+    return stuffing.text_counts(table(spark, d, "documents"))
+
+
+def p10_count_spectrum(spark: SparkSession, d: str) -> DataFrame:
+    """How many different words and pairs of neighbours the corpus has, by how often they occur."""
+    return stuffing.count_spectrum(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_distinct_ids, p7_found, p8_found, p8_near, p9_mix, p9_shares, p9_tempered_shares, p10_found, p10_scores, p10_count_spectrum)}
 
 _P8 = """
 WITH words AS (
@@ -133,7 +143,24 @@ windows AS (SELECT DISTINCT kind, id, array_to_string(w[i : i + 19], ' ') AS pas
 SELECT DISTINCT a.id AS doc_id, b.id AS item_id FROM windows a JOIN windows b ON a.passage = b.passage WHERE a.kind = 0 AND b.kind = 1
 """
 
+_P10 = r"""
+WITH lines AS (
+  SELECT doc_id, unnest(range(1, len(l) + 1)) AS line_no, unnest(l) AS line FROM (
+    SELECT doc_id, regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\r\n]') AS l FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL)),
+held AS (SELECT doc_id, line_no, regexp_extract_all(line, '[a-z0-9_\x{80}-\x{10FFFF}]+') AS w FROM lines),
+words AS (SELECT doc_id, unnest(w) AS k FROM held),
+pairs AS (SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS k FROM held)
+"""
+
 SQL = {
+    "p10_scores": _P10
+    + """, w AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS words, CAST(coalesce(sum(n) FILTER (n >= 4), 0) AS BIGINT) AS returning_words FROM (SELECT doc_id, k, count(*) AS n FROM words GROUP BY 1, 2) GROUP BY 1),
+p AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS pairs, CAST(coalesce(sum(n) FILTER (n >= 3), 0) AS BIGINT) AS returning_pairs FROM (SELECT doc_id, k, count(*) AS n FROM pairs GROUP BY 1, 2) GROUP BY 1)
+SELECT d.doc_id, coalesce(words, 0) AS words, coalesce(pairs, 0) AS pairs, coalesce(returning_words, 0) AS returning_words, coalesce(returning_pairs, 0) AS returning_pairs
+FROM (SELECT doc_id FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL) d LEFT JOIN w ON w.doc_id = d.doc_id LEFT JOIN p ON p.doc_id = d.doc_id""",
+    "p10_count_spectrum": _P10
+    + """SELECT 'word' AS kind, times, count(*) AS different FROM (SELECT k, count(*) AS times FROM words GROUP BY k) GROUP BY times
+UNION ALL SELECT 'pair', times, count(*) FROM (SELECT k, count(*) AS times FROM pairs GROUP BY k) GROUP BY times""",
     "p7_found": """
 WITH bids AS (SELECT DISTINCT bid_id, auction, price, b_date_time FROM bid WHERE auction IS NOT NULL AND price IS NOT NULL),
 cats AS (SELECT a_id, max(category) AS category FROM auction WHERE category IS NOT NULL GROUP BY 1),

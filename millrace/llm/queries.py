@@ -143,6 +143,21 @@ windows AS (SELECT DISTINCT kind, id, array_to_string(w[i : i + 19], ' ') AS pas
 SELECT DISTINCT a.id AS doc_id, b.id AS item_id FROM windows a JOIN windows b ON a.passage = b.passage WHERE a.kind = 0 AND b.kind = 1
 """
 
+#: One of the halves of an item's window is untouched by one edit; the other is held against 9 to 11 words beside it.
+_P8_NEAR = """
+WITH words AS (
+  SELECT 0 AS kind, doc_id AS id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+') AS w FROM documents WHERE text IS NOT NULL
+  UNION ALL SELECT 1, item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+') FROM eval_item WHERE text IS NOT NULL),
+docs AS (SELECT id, w, i, array_to_string(w[i : i + 9], ' ') AS ten FROM (SELECT *, unnest(range(1, len(w) - 8)) AS i FROM words WHERE kind = 0 AND len(w) >= 10)),
+items AS (SELECT DISTINCT id, w[i : i + 9] AS one, w[i + 10 : i + 19] AS two FROM (SELECT *, unnest(range(1, len(w) - 18)) AS i FROM words WHERE kind = 1 AND len(w) >= 20)),
+pairs AS (
+  SELECT d.id AS doc_id, t.id AS item_id, t.two AS r, d.w[d.i + 10 : d.i + 20] AS x FROM docs d JOIN items t ON d.ten = array_to_string(t.one, ' ')
+  UNION ALL
+  SELECT d.id, t.id, list_reverse(t.one), list_reverse(d.w[greatest(d.i - 11, 1) : d.i - 1]) FROM docs d JOIN items t ON d.ten = array_to_string(t.two, ' '))
+SELECT DISTINCT doc_id, item_id FROM pairs WHERE r = x[1:10] OR len(list_filter(range(0, 10), lambda i: r[1:i] = x[1:i] AND (
+  (len(x) >= 10 AND r[i + 2 : 10] = x[i + 2 : 10]) OR (len(x) >= 9 AND r[i + 2 : 10] = x[i + 1 : 9]) OR (len(x) >= 11 AND r[i + 1 : 10] = x[i + 2 : 11])))) > 0
+"""
+
 _P10 = r"""
 WITH lines AS (
   SELECT doc_id, unnest(range(1, len(l) + 1)) AS line_no, unnest(l) AS line FROM (
@@ -169,4 +184,5 @@ c AS (SELECT category AS k, bid_id, row_number() OVER (PARTITION BY category ORD
 SELECT 'auction' AS level, k AS group_key, place, bid_id FROM a WHERE place <= 3
 UNION ALL SELECT 'category', k, place, bid_id FROM c WHERE place <= 10""",
     "p8_found": _P8,
+    "p8_near": _P8_NEAR,
 }

@@ -1,8 +1,10 @@
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from millrace.llm import leakage, words
 
@@ -58,7 +60,7 @@ def test_leaks_match_brute_force(spark):
     i = spark.createDataFrame(items, "item_id bigint, text string")
     want = _brute(docs, items)
     for size in (16_000_000, 500):
-        got = [tuple(r) for r in leakage.leaks(d, i, block_bytes=size).collect()]
+        got = [tuple(r) for r in leakage.leaks(d, i, index_bytes=size).collect()]
         assert len(got) == len(set(got)) and set(got) == want and len(want) > 80
 
 
@@ -151,3 +153,31 @@ def test_free_end_of_the_banded_distance():
                     r[at] = -1
         want = [min(_distance(x, y[:j]) for j in range(12 - most, 12 + most + 1)) <= most for x, y in zip(a.tolist(), b.tolist(), strict=True)]
         assert leakage.within_edits(a, b, most, free_end=True).tolist() == want and 0 < sum(want) < 400
+
+
+def test_near_leaks_of_many_items_are_those_of_few(spark):
+    rng = random.Random(21)
+    docs, items = _case()
+    for k, (item, text) in enumerate(items[:30]):
+        w = text.split()[rng.randrange(20) :][:20]
+        w[3:4] = [] if k % 3 == 0 else ["y0"] if k % 3 == 1 else [w[3], "y1"]
+        docs.append((2000 + item, " ".join(w)))
+    d, i = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    settings = leakage.Settings(edits=1)
+    one, two = ({tuple(r) for r in leakage.leaks(d, i, settings, index_bytes=size).collect()} for size in (16_000_000, 10))
+    assert one == two and len([x for x in one if x == (x[1] + 2000, x[1])]) >= 29
+
+
+def test_equal_windows_are_held_against_each_other_once():
+    zeros = lambda n: ("0, " * n).encode()
+    began = time.perf_counter()
+    for edits in (0, 1):
+        index = leakage.Index([(7, zeros(2000)), (8, b"one " * 40), (9, zeros(30))], leakage.Settings(edits=edits))
+        place, item = index.search(pa.array([zeros(8000), b"one"], pa.binary()))
+        assert sorted(zip(place.tolist(), item.tolist(), strict=True)) == [(0, 7), (0, 9)]
+    assert time.perf_counter() - began < 5
+
+
+def test_a_recall_out_of_reach_is_an_error():
+    with pytest.raises(ValueError, match="repetitions"):
+        leakage.repetitions_for(leakage.Settings(edits=5, samples=40))

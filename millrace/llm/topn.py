@@ -55,10 +55,17 @@ def _named(df: DataFrame, group: str, item: str, order: Order) -> tuple[DataFram
 
 
 def _best(rows: DataFrame, group: str, order: Order, item: str, n: int, shards: int) -> DataFrame:
+    """The first n different items of each group.
+
+    Where rows are read, each task keeps those of its own first n items of a group (the planner limits groups below a rank before the
+    shuffle), so no group, however large, sends more than n items and their copies from a task.
+    """
     by = [F.col(c).desc_nulls_last() if down else F.col(c).asc_nulls_last() for c, down in order]
     shard = F.pmod(F.xxhash64(item), F.lit(shards)).cast("int") if shards > 1 else F.lit(0)
-    one = rows.withColumn("__shard", shard).repartition(group, "__shard").dropDuplicates([group, "__shard", item])
-    best = one.withColumn("__place", F.row_number().over(Window.partitionBy(group, "__shard").orderBy(*by))).where(F.col("__place") <= n)
+    some = rows.withColumn("__shard", shard)
+    some = some.withColumn("__place", F.dense_rank().over(Window.partitionBy(group, "__shard").orderBy(*by))).where(F.col("__place") <= n)
+    best = some.dropDuplicates([group, "__shard", *(c for c, _ in order)])
+    best = best.withColumn("__place", F.row_number().over(Window.partitionBy(group, "__shard").orderBy(*by))).where(F.col("__place") <= n)
     if shards > 1:
         best = best.withColumn("__place", F.row_number().over(Window.partitionBy(group).orderBy(*by))).where(F.col("__place") <= n)
     return best.drop("__shard")
@@ -71,7 +78,7 @@ def _renamed(best: DataFrame, columns: list[str]) -> DataFrame:
 def rank(df: DataFrame, group: str, order: Order, item: str, n: int, shards: int = 1) -> DataFrame:
     """The first n different items of each group with their place; copies of an item are dropped.
 
-    Copies share a shard, so with shards > 1 no task holds a whole group and the last step sees at most n * shards rows of one.
+    Copies (rows that agree in the group and in all columns of order) share a shard, so with shards > 1 no task holds a whole group and the last step sees at most n * shards rows of one.
     """
     rows, g, i, by = _named(df, group, item, order)
     return _renamed(_best(rows, g, by, i, n, shards), df.columns)
@@ -82,14 +89,15 @@ def top_n(df: DataFrame, group: str, score: str, order: Order, item: str, n: int
 
     order lists (column, descending), nulls last; it starts with the score, descending, and ends with item, so it is total. Rows
     with a null group or score are left out, copies of an item count once, a group with fewer than n items comes out
-    whole, an empty table gives an empty result. A column of df that is called place is replaced; other names are free. n
-    may be up to 64; scores are integers.
+    whole, an empty table gives an empty result. A column of df that is called place is replaced; other names are free.
+    Scores are integers. Copies are rows that agree in the group and in all columns of order: an item that comes with several
+    scores has a place for each.
 
     Groups with more than 1 / max_large of all rows are large; there are fewer than max_large of them, which bounds what is
     broadcast: their thresholds. All others are ranked directly.
     """
-    if not 0 < n <= 64 or order[0] != (score, True) or order[-1][0] != item:
-        raise ValueError("n must be 1 to 64, and order must begin with the score, descending, and end with the item")
+    if n <= 0 or order[0] != (score, True) or order[-1][0] != item:
+        raise ValueError("n must be positive, and order must begin with the score, descending, and end with the item")
     rows, g, i, by = _named(df, group, item, order)
     score_ = by[0][0]
     base = rows.where(F.col(g).isNotNull() & F.col(score_).isNotNull())

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.catalog import table
-from millrace.functions.normal import bare_uuid, label
+from millrace.functions.normal import bare_uuid, label, source_name
 from millrace.functions.times import DAY_MS, day_text, floor_div, millis
 from millrace.llm import distinct, leakage, mixing, stuffing, topn
 from millrace.session import broadcast_up_to, cut_lineage, spread
@@ -18,6 +18,10 @@ def _day(column: str) -> Column:
     return day_text(floor_div(millis(F.col(column)), DAY_MS))
 
 
+def _categories(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "auction").where("a_id IS NOT NULL").groupBy(F.col("a_id").alias("auction")).agg(F.max("category").alias("category"))
+
+
 def _bid_bitmaps(spark: SparkSession, d: str) -> DataFrame:
     """Bitmaps of bidders and auctions per day and category.
 
@@ -27,8 +31,7 @@ def _bid_bitmaps(spark: SparkSession, d: str) -> DataFrame:
     bid = table(spark, d, "bid").where("b_date_time IS NOT NULL").select("auction", _day("b_date_time").alias("day"), "bidder")
     words = distinct.with_cell(bid, F.col("bidder")).select("auction", "day", "cell.slice", "cell.word", "cell.mask")
     words = words.groupBy("auction", "day", "slice", "word").agg(F.bit_or("mask").alias("mask"))
-    category = table(spark, d, "auction").where("a_id IS NOT NULL").groupBy(F.col("a_id").alias("auction")).agg(F.max("category").alias("category"))
-    told = words.join(category, "auction", "left").withColumn("category", F.coalesce(F.col("category").cast("string"), F.lit(NONE)))
+    told = words.join(_categories(spark, d), "auction", "left").withColumn("category", F.coalesce(F.col("category").cast("string"), F.lit(NONE)))
     told = distinct.with_cell(told, F.col("auction"), "own")
     both = F.array(
         F.struct(F.lit("bid.bidder").alias("field"), F.when(F.col("slice").isNotNull(), F.struct("slice", "word", "mask")).alias("cell")),
@@ -37,17 +40,21 @@ def _bid_bitmaps(spark: SparkSession, d: str) -> DataFrame:
     return distinct.bitmaps(told.select("day", "category", F.explode(both).alias("x")).select("x.field", "day", "category", "x.cell"), ["field", "day", "category"])
 
 
-def _ad_bitmaps(spark: SparkSession, d: str) -> DataFrame:
-    """Bitmaps of users per day, ad type, event type and campaign."""
+def _ads(spark: SparkSession, d: str) -> DataFrame:
+    """Ad events with a time and a user: day, labels, campaign and user; an ad of several campaigns counts in the first by id alone."""
     campaign = table(spark, d, "campaign").select(bare_uuid(F.col("c_ad_id")).alias("ad"), bare_uuid(F.col("campaign_id")).alias("campaign")).where("ad IS NOT NULL")
     campaign = broadcast_up_to(campaign.groupBy("ad").agg(F.min("campaign").alias("campaign")), 100_000)
     ads = table(spark, d, "ad_event").where("event_time IS NOT NULL AND user_id IS NOT NULL").select(
         _day("event_time").alias("day"), label(F.col("ad_type")).alias("ad_type"), label(F.col("event_type")).alias("event_type"), bare_uuid(F.col("ad_id")).alias("ad"), bare_uuid(F.col("user_id")).alias("user")
     )
-    ads = distinct.with_cell(ads, F.col("user"))
-    dims = ["ad_type", "event_type", "campaign"]
-    told = ads.join(campaign, "ad", "left").select("day", *(F.coalesce(c, F.lit(NONE)).alias(c) for c in dims), "cell")
-    return distinct.bitmaps(told, ["day", *dims])
+    told = ads.where("user IS NOT NULL").join(campaign, "ad", "left")
+    return told.select("day", *(F.coalesce(c, F.lit(NONE)).alias(c) for c in ("ad_type", "event_type", "campaign")), "user")
+
+
+def _ad_bitmaps(spark: SparkSession, d: str) -> DataFrame:
+    """Bitmaps of users per day, ad type, event type and campaign."""
+    dims = ["day", "ad_type", "event_type", "campaign"]
+    return distinct.bitmaps(distinct.with_cell(_ads(spark, d), F.col("user")), dims)
 
 
 def p1_distinct_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -63,6 +70,27 @@ def p1_distinct_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 
+_P1_COLUMNS = ["field", "day", "category", "ad_type", "event_type", "campaign"]
+
+
+def p1_within_bound(spark: SparkSession, d: str) -> DataFrame:
+    """The exact number of different ids of every combination, and whether p1_distinct_ids is within four standard errors of it, or (small sets, where each collision is whole) three ids."""
+    every = lambda c: F.coalesce(c, F.lit("*")).alias(c)
+    bid = table(spark, d, "bid").where("b_date_time IS NOT NULL").select("auction", _day("b_date_time").alias("day"), "bidder").distinct()
+    told = bid.join(_categories(spark, d), "auction", "left").withColumn("category", F.coalesce(F.col("category").cast("string"), F.lit(NONE)))
+    ids = F.explode(F.array(F.struct(F.lit("bid.bidder").alias("field"), F.col("bidder").alias("id")), F.struct(F.lit("bid.auction").alias("field"), F.col("auction").alias("id"))))
+    bids = told.select("day", "category", ids.alias("x")).select("x.field", "day", "category", "x.id").where("id IS NOT NULL").distinct()
+    one = bids.groupingSets([[F.col(c) for c in ("field", *s)] for s in distinct.combinations(["day", "category"])], F.col("field"), F.col("day"), F.col("category"))
+    one = one.agg(F.count_distinct("id").alias("exact")).select("field", every("day"), every("category"), *(F.lit("*").alias(c) for c in _P1_COLUMNS[3:]), "exact")
+    dims = ["day", *_P1_COLUMNS[3:]]
+    ads = _ads(spark, d).select(*dims, "user").distinct()
+    two = ads.groupingSets([[F.col(c) for c in s] for s in distinct.combinations(dims)], *(F.col(c) for c in dims)).agg(F.count_distinct("user").alias("exact"))
+    two = two.select(F.lit("ad_event.user_id").alias("field"), every("day"), F.lit("*").alias("category"), *(every(c) for c in _P1_COLUMNS[3:]), "exact")
+    estimates = p1_distinct_ids(spark, d)
+    within = F.abs(F.col("estimate") - F.col("exact")) <= F.greatest(F.lit(3.0), 4 * F.col("standard_error") * F.col("exact"))
+    return one.unionByName(two).join(estimates, _P1_COLUMNS, "full").select(*_P1_COLUMNS, "exact", within.alias("within"))
+
+
 _ORDER = [("price", True), ("b_date_time", False), ("bid_id", False)]
 
 
@@ -119,6 +147,43 @@ def p9_tempered_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mixed(spread(table(spark, d, "documents").select("doc_id", "source", "text")), table(spark, d, "mix_target"), towards_targets=False)[1]
 
 
+def p9_tempered_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The documents drawn for p9_tempered_shares, with their copies."""
+    return mixing.mixed(spread(table(spark, d, "documents").select("doc_id", "source", "text")), table(spark, d, "mix_target"), towards_targets=False)[0]
+
+
+def _limits(spark: SparkSession, d: str, towards_targets: bool) -> DataFrame:
+    """Per source of mix_target: its documents, and whether what was drawn of it keeps its limits.
+
+    within_repeats: no document is drawn more than max_repeats times, and none twice; within_document: the tokens drawn are those of
+    its budget but for one document; own: all drawn are documents of this source.
+    """
+    documents = table(spark, d, "documents").select("doc_id", "source", "text")
+    drawn, shares = mixing.mixed(spread(documents), table(spark, d, "mix_target"), towards_targets=towards_targets)
+    got = drawn.groupBy("source").agg(F.count_distinct("doc_id").alias("ids"), F.count("*").alias("rows"), F.max("copies").alias("most"), F.max("tokens").alias("longest"))
+    known = documents.select("doc_id", source_name(F.col("source")).alias("source"))
+    foreign = drawn.select("doc_id", "source").join(known, ["doc_id", "source"], "left_anti").groupBy("source").agg(F.count("*").alias("foreign"))
+    both = shares.join(got, "source", "left").join(foreign, "source", "left")
+    none = lambda c: F.coalesce(c, F.lit(0))
+    return both.select(
+        "source",
+        F.col("documents"),
+        ((none("most") <= F.col("max_repeats")) & (none("ids") == none("rows"))).alias("within_repeats"),
+        (F.abs(F.col("drawn") - F.col("budget")) <= none("longest")).alias("within_document"),
+        (none("foreign") == 0).alias("own"),
+    )
+
+
+def p9_limits(spark: SparkSession, d: str) -> DataFrame:
+    """The limits that p9_mix keeps."""
+    return _limits(spark, d, True)
+
+
+def p9_tempered_limits(spark: SparkSession, d: str) -> DataFrame:
+    """The limits that p9_tempered_mix keeps."""
+    return _limits(spark, d, False)
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return stuffing.stuffed(spread(table(spark, d, "documents").select("doc_id", "text"))).select("doc_id")
 
@@ -133,7 +198,7 @@ def p10_count_spectrum(spark: SparkSession, d: str) -> DataFrame:
     return stuffing.count_spectrum(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_distinct_ids, p7_found, p8_found, p8_near, p9_mix, p9_shares, p9_tempered_shares, p10_found, p10_scores, p10_count_spectrum)}
+QUERIES = {f.__name__: f for f in (p1_distinct_ids, p1_within_bound, p7_found, p8_found, p8_near, p9_mix, p9_shares, p9_limits, p9_tempered_mix, p9_tempered_shares, p9_tempered_limits, p10_found, p10_scores, p10_count_spectrum)}
 
 _P8 = """
 WITH words AS (
@@ -167,7 +232,36 @@ words AS (SELECT doc_id, unnest(w) AS k FROM held),
 pairs AS (SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS k FROM held)
 """
 
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_LABEL = f"translate(lower(trim({{}}, {_BLANKS})), '_ ', '--')"
+_UUID = f"translate(lower({{0}}), '-{{{{}}}}' || {_BLANKS}, '')"
+_ID = f"CASE WHEN length({_UUID}) = 32 THEN {_UUID} END"
+
+
+def _sets(field: str, dims: list[str], source: str) -> str:
+    """Exact counts of all combinations of dims."""
+    all_of = ", ".join(f"CASE WHEN grouping({c}) = 1 THEN '*' ELSE {c} END AS {c}" if c in dims else f"'*' AS {c}" for c in _P1_COLUMNS[1:])
+    return f"SELECT {field} AS field, {all_of}, count(DISTINCT id) AS exact, TRUE AS within FROM {source} GROUP BY " + ("CUBE" if field.startswith("'") else "field, CUBE") + f" ({', '.join(dims)})"
+
+
+_P1 = f"""
+WITH cats AS (SELECT a_id, max(category) AS category FROM auction WHERE a_id IS NOT NULL GROUP BY 1),
+b AS (SELECT bidder, auction, strftime(b_date_time, '%Y-%m-%d') AS day, coalesce(CAST(category AS VARCHAR), '{NONE}') AS category FROM bid LEFT JOIN cats ON a_id = auction WHERE b_date_time IS NOT NULL),
+bids AS (SELECT 'bid.bidder' AS field, day, category, bidder AS id FROM b WHERE bidder IS NOT NULL UNION ALL SELECT 'bid.auction', day, category, auction FROM b WHERE auction IS NOT NULL),
+camp AS (SELECT {_ID.format("c_ad_id")} AS ad, min({_ID.format("campaign_id")}) AS campaign FROM campaign GROUP BY 1),
+e AS (SELECT strftime(event_time, '%Y-%m-%d') AS day, {_LABEL.format("ad_type")} AS ad_type, {_LABEL.format("event_type")} AS event_type, {_ID.format("ad_id")} AS ad, {_ID.format("user_id")} AS id FROM ad_event WHERE event_time IS NOT NULL),
+ads AS (SELECT day, coalesce(ad_type, '{NONE}') AS ad_type, coalesce(event_type, '{NONE}') AS event_type, coalesce(campaign, '{NONE}') AS campaign, id FROM e LEFT JOIN camp ON camp.ad = e.ad WHERE id IS NOT NULL)
+{_sets("field", ["day", "category"], "bids")} UNION ALL {_sets("'ad_event.user_id'", ["day", "ad_type", "event_type", "campaign"], "ads")}"""
+
+_P9_LIMITS = f"""
+WITH named AS (SELECT translate(lower(trim(source, {_BLANKS})), '-', '_') AS source FROM documents WHERE doc_id IS NOT NULL AND source IS NOT NULL AND text IS NOT NULL AND text != ''),
+listed AS (SELECT DISTINCT translate(lower(trim(source, {_BLANKS})), '-', '_') AS source FROM mix_target WHERE source IS NOT NULL AND weight IS NOT NULL)
+SELECT l.source, count(n.source) AS documents, TRUE AS within_repeats, TRUE AS within_document, TRUE AS own FROM listed l LEFT JOIN named n ON n.source = l.source GROUP BY l.source"""
+
 SQL = {
+    "p1_within_bound": _P1,
+    "p9_limits": _P9_LIMITS,
+    "p9_tempered_limits": _P9_LIMITS,
     "p10_scores": _P10
     + """, w AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS words, CAST(coalesce(sum(n) FILTER (n >= 4), 0) AS BIGINT) AS returning_words FROM (SELECT doc_id, k, count(*) AS n FROM words GROUP BY 1, 2) GROUP BY 1),
 p AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS pairs, CAST(coalesce(sum(n) FILTER (n >= 3), 0) AS BIGINT) AS returning_pairs FROM (SELECT doc_id, k, count(*) AS n FROM pairs GROUP BY 1, 2) GROUP BY 1)

@@ -37,6 +37,29 @@ class Dialect:
     def uuid(self, column: str) -> str:
         return f"translate(lower({column}), '-{{}} \\t\\r\\n', '')"
 
+    def now(self) -> str:
+        """The time at which the query began: processing time."""
+        return "CAST(current_timestamp() AS TIMESTAMP_NTZ)"
+
+    def joined(self, column: str) -> str:
+        """All values of a group in order, as text."""
+        return f"array_join(sort_array(collect_list({column})), ',')"
+
+    def regex_replace(self, column: str, pattern: str) -> str:
+        return f"regexp_replace({column}, '{pattern}', '')"
+
+    def tumble(self, time: str, hours: int) -> str:
+        """Rows with the bounds of their tumbling window."""
+        return f"SELECT window.start AS window_start, window.end AS window_end FROM (SELECT window({time}, '{hours} hours') AS window FROM events)"
+
+    def hop_windows(self, time: str, hours: int, step: int) -> str:
+        """Rows with the bounds of each of their hopping windows."""
+        return f"SELECT window.start AS window_start, window.end AS window_end FROM (SELECT window({time}, '{hours} hours', '{step} hours') AS window FROM events)"
+
+    def session(self, source: str, key: str, time: str, hours: int) -> str:
+        """Sessions with their bounds; one ends the gap after its last row."""
+        return f"SELECT {key}, session_window({time}, '{hours} hours').start AS session_start, session_window({time}, '{hours} hours').end AS session_end, count(*) AS n FROM {source} GROUP BY {key}, session_window({time}, '{hours} hours')"
+
     def hops(self, ms: str, base: int, size: int, hop: int) -> str:
         """The starts of the windows that ms lies in, one row each."""
         last = f"({ms} - pmod({ms} - {base}, {hop}))"
@@ -61,6 +84,28 @@ class Other(Dialect):
     def uuid(self, column: str) -> str:
         return f"translate(lower({column}), '-{{}} ' || chr(9) || chr(10) || chr(13), '')"
 
+    def now(self) -> str:
+        return "CAST(now() AS TIMESTAMP)"
+
+    def joined(self, column: str) -> str:
+        return f"string_agg(CAST({column} AS VARCHAR), ',' ORDER BY {column})"
+
+    def regex_replace(self, column: str, pattern: str) -> str:
+        return f"regexp_replace({column}, '{pattern}', '', 'g')"
+
+    def tumble(self, time: str, hours: int) -> str:
+        at = f"time_bucket(INTERVAL {hours} HOUR, {time}, TIMESTAMP '1970-01-01')"
+        return f"SELECT {at} AS window_start, {at} + INTERVAL {hours} HOUR AS window_end FROM events"
+
+    def hop_windows(self, time: str, hours: int, step: int) -> str:
+        at = f"time_bucket(INTERVAL {step} HOUR, {time}, TIMESTAMP '1970-01-01') - to_hours(k * {step})"
+        return f"SELECT {at} AS window_start, {at} + INTERVAL {hours} HOUR AS window_end FROM events, range({hours // step}) r(k)"
+
+    def session(self, source: str, key: str, time: str, hours: int) -> str:
+        return f"""SELECT {key}, min({time}) AS session_start, max({time}) + INTERVAL {hours} HOUR AS session_end, count(*) AS n FROM (
+  SELECT *, sum(fresh) OVER (PARTITION BY {key} ORDER BY {time} ROWS UNBOUNDED PRECEDING) AS part FROM (
+    SELECT {key}, {time}, CASE WHEN {time} <= lag({time}) OVER (PARTITION BY {key} ORDER BY {time}) + INTERVAL {hours} HOUR THEN 0 ELSE 1 END AS fresh FROM {source})) GROUP BY {key}, part"""
+
     def hops(self, ms: str, base: int, size: int, hop: int) -> str:
         last = f"({ms} - ((({ms} - {base}) % {hop}) + {hop}) % {hop})"
         return f"unnest(list_filter(list_transform(range(0, {-(-size // hop)}), lambda i: {last} - i * {hop}), lambda s: s + {size} > {ms}))"

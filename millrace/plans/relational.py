@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.catalog import table
+from millrace.operators.asof import asof_join
 from millrace.plans.dialect import OTHER, query, render
 from millrace.spec import QuerySpec
 
@@ -15,7 +16,7 @@ TEXTS = {
     "pf_columns": "SELECT o_orderkey, o_custkey, o_orderdate FROM orders",
     "pf_alias": "SELECT c_custkey AS id, c_acctbal AS balance FROM customer",
     "pf_arithmetic": "SELECT event_id, round(CAST(0.908 AS DOUBLE) * value, 4) AS scaled FROM events",
-    "pf_add": "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, round(l_orderkey + l_quantity, 2) AS added FROM lineitem WHERE l_orderkey < 500",
+    "pf_add": "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, round(l_orderkey + l_quantity, 2) AS added FROM lineitem",
     "pf_compare_value": "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_partkey >= l_suppkey AS ge FROM lineitem",
     "pf_modulo": "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 123 = 0",
     "pf_mod_function": "SELECT o_orderkey FROM orders WHERE mod(o_orderkey, 77) = 5",
@@ -70,14 +71,20 @@ SELECT b.bid_id, a.a_id, a.category FROM a JOIN b ON b.auction = a.a_id AND b.b_
     "agg_cube": "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)",
     "agg_grouping_sets": "SELECT c_mktsegment, c_nationkey, count(*) AS n FROM customer GROUP BY GROUPING SETS ((c_mktsegment), (c_nationkey), ())",
     "agg_stddev": "SELECT event_type, round(stddev_samp(value), 4) AS sd, round(var_pop(value), 3) AS var FROM events GROUP BY event_type",
+    "agg_collected": lambda x: f"SELECT o_custkey, {x.joined('o_orderkey')} AS orders FROM orders GROUP BY o_custkey",
+    "agg_approx_distinct": lambda x: f"SELECT abs(approx_count_distinct(o_custkey) - count(DISTINCT o_custkey)) <= 0.25 * count(DISTINCT o_custkey) AS near FROM orders",
     # OVER windows
     "win_rownum_top1": "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC NULLS LAST, o_orderkey) AS rn FROM orders) t WHERE rn = 1",
     "win_rownum_topn_avg": "SELECT o_custkey, round(avg(o_totalprice), 2) AS mean FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) t WHERE rn <= 10 GROUP BY o_custkey",
     "win_frame_avg": "SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 10 PRECEDING AND CURRENT ROW), 6) AS running FROM events",
     "win_rank": "SELECT p_partkey, CAST(rank() OVER (PARTITION BY p_brand ORDER BY p_size) AS BIGINT) AS r, CAST(dense_rank() OVER (PARTITION BY p_brand ORDER BY p_size) AS BIGINT) AS d FROM part",
+    "win_ntile": "SELECT p_partkey, CAST(ntile(7) OVER (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey) AS BIGINT) AS part FROM part",
+    "win_first_last": "SELECT o_orderkey, first_value(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS first_order, last_value(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last_order FROM orders",
+    "win_range": "SELECT p_partkey, count(*) OVER (PARTITION BY p_brand ORDER BY p_size RANGE BETWEEN 3 PRECEDING AND 2 FOLLOWING) AS near FROM part",
     "win_lag_lead": "SELECT event_id, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before, lead(event_type, 2) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS after FROM events",
     # order, limit, sets
     "sort_limit_nulls": "SELECT a_id, category, seller FROM (SELECT DISTINCT a_id, category, seller FROM auction) t ORDER BY category ASC NULLS LAST, seller DESC NULLS FIRST, a_id LIMIT 50",
+    "sort_join": "SELECT o.o_orderkey, c.c_name, o.o_totalprice FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey ORDER BY o.o_totalprice DESC, o.o_orderkey LIMIT 200",
     "sort_multi_limit": "SELECT p_brand, p_type, count(*) AS n FROM part GROUP BY p_brand, p_type ORDER BY n DESC, p_brand, p_type LIMIT 25",
     "set_union": "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier",
     "set_union_all": "SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier",
@@ -89,7 +96,12 @@ SELECT b.bid_id, a.a_id, a.category FROM a JOIN b ON b.auction = a.a_id AND b.b_
     "fn_date_interval": "SELECT o_orderkey FROM orders WHERE o_orderdate >= DATE '1996-01-01' + INTERVAL '3' MONTH AND o_orderdate < DATE '1996-01-01' + INTERVAL '1' YEAR",
     "fn_substring": "SELECT c_custkey, substring(c_name FROM 10 FOR 9) AS part FROM customer",
     "fn_date_format": lambda x: f"SELECT event_id, {x.text('ts', 'yyyy-MM-dd')} AS dt, {x.text('ts', 'HH:mm')} AS hm FROM events",
-    "fn_string_date_compare": "SELECT o_orderkey FROM orders WHERE o_orderdate >= CAST('1997-05-01' AS DATE) AND o_orderdate < CAST('1997-06-01' AS DATE)",
+    "fn_string_date_compare": "SELECT o_orderkey FROM orders WHERE o_orderdate >= '1997-05-01' AND o_orderdate < '1997-06-01'",
+    "fn_now": lambda x: f"SELECT event_id, ts < {x.now()} AS past, {x.now()} = {x.now()} AS steady FROM events",
+    "fn_tumble": lambda x: f"SELECT window_start, window_end, count(*) AS n FROM ({x.tumble('ts', 7)}) t GROUP BY window_start, window_end",
+    "fn_hop": lambda x: f"SELECT window_start, window_end, count(*) AS n FROM ({x.hop_windows('ts', 6, 2)}) t GROUP BY window_start, window_end",
+    "fn_session": lambda x: x.session("events", "user_id", "ts", 6),
+    "fn_math_text": lambda x: f"SELECT p_partkey, round(sqrt(p_retailprice), 6) AS root, abs(p_size - 25) AS away, upper(p_brand) AS brand, length(p_name) AS size, {x.regex_replace('p_name', '[aeiou]')} AS bare FROM part",
     # the four micro operators
     "op_filter": "SELECT bid_id, auction, price FROM (SELECT DISTINCT bid_id, auction, price FROM bid) b WHERE auction % 123 = 0",
     "op_join": "SELECT b.bid_id, a.category FROM (SELECT DISTINCT bid_id, auction FROM bid) b JOIN (SELECT DISTINCT a_id, category FROM auction) a ON a.a_id = b.auction",
@@ -98,6 +110,20 @@ SELECT b.bid_id, a.a_id, a.category FROM a JOIN b ON b.auction = a.a_id AND b.b_
 }
 
 
+def join_asof(spark: SparkSession, d: str) -> DataFrame:
+    """Every event with its user's last click at or before it."""
+    e = table(spark, d, "events").select("event_id", "user_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    clicks = e.where("event_type = 'click'").select("user_id", "us", "event_id")
+    return asof_join(e.where("event_type != 'click'"), clicks, "user_id", "us", "event_id", 24 * 3_600_000_000).select("event_id", F.col("match.event_id").alias("click"))
+
+
+def fn_array_map(spark: SparkSession, d: str) -> DataFrame:
+    """Functions of arrays and maps."""
+    o = table(spark, d, "orders").select("o_orderkey", F.split("o_orderpriority", "-").alias("a"))
+    m = F.map_from_arrays(F.array(F.lit("rank"), F.lit("name")), F.slice("a", 1, 2))
+    return o.select("o_orderkey", F.size("a").cast("bigint").alias("parts"), F.element_at(m, "rank").alias("rank"), F.array_contains("a", "LOW").alias("low"), F.array_join(F.reverse("a"), "/").alias("turned"))
+
+
 def fn_json_base64(spark: SparkSession, d: str) -> DataFrame:
     """A JSON column taken through base64 and back, and read with a declared schema."""
     e = table(spark, d, "events").select("event_id", F.base64(F.col("props").cast("binary")).alias("b"))
@@ -112,5 +138,12 @@ def ddl_view(spark: SparkSession, d: str) -> DataFrame:
     return made
 
 
-QUERIES = {k: query(v) for k, v in TEXTS.items()} | {"fn_json_base64": fn_json_base64, "ddl_view": ddl_view}
-SQL = {k: render(v, OTHER) for k, v in TEXTS.items()} | {"fn_json_base64": "SELECT event_id, CAST(props ->> '$.k' AS BIGINT) AS k FROM events", "ddl_view": "SELECT o_custkey AS who, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY o_custkey HAVING round(sum(o_totalprice), 2) > 2000000"}
+QUERIES = {k: query(v) for k, v in TEXTS.items()} | {f.__name__: f for f in (join_asof, fn_array_map, fn_json_base64, ddl_view)}
+SQL = {k: render(v, OTHER) for k, v in TEXTS.items()} | {
+    "fn_json_base64": "SELECT event_id, CAST(props ->> '$.k' AS BIGINT) AS k FROM events",
+    "ddl_view": "SELECT o_custkey AS who, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY o_custkey HAVING round(sum(o_totalprice), 2) > 2000000",
+    "join_asof": """SELECT event_id, click FROM (
+  SELECT event_id, event_type, last_value(CASE WHEN event_type = 'click' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, CASE WHEN event_type = 'click' THEN 0 ELSE 1 END, event_id ROWS UNBOUNDED PRECEDING) AS click
+  FROM events) WHERE event_type != 'click'""",
+    "fn_array_map": "SELECT o_orderkey, len(a) AS parts, a[1] AS rank, list_contains(a, 'LOW') AS low, array_to_string(list_reverse(a), '/') AS turned FROM (SELECT o_orderkey, string_split(o_orderpriority, '-') AS a FROM orders)",
+}

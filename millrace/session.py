@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
 import tempfile
+import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +19,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    # checkpoints go when nothing refers to them any more
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -27,22 +34,60 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Pin the time zone, on which casts between wall-clock and absolute times depend."""
+    """Pin the time zone, on which casts between wall-clock and absolute times depend, and let Python workers find this package."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    _ship(spark)
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write df once to the shared checkpoint folder and read it from there.
+_SHIPPED: set[str] = set()
+
 
-    The folder is the one the session names in ``spark.checkpoint.dir``. Only where that is unset, as in
-    tests on one machine, a temporary folder is used.
+def _ship(spark: SparkSession) -> None:
+    """Send the package to the workers, once per application, unless it is installed or on their path."""
+    context = spark.sparkContext
+    package = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(package)
+    reachable = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if context.applicationId in _SHIPPED or root in reachable or "site-packages" in root:
+        return
+    _SHIPPED.add(context.applicationId)
+    place = tempfile.mkdtemp(prefix="millrace-package-")  # code, not data: the driver serves it to the executors
+    atexit.register(shutil.rmtree, place, ignore_errors=True)
+    path = f"{place}/millrace-{uuid.uuid4().hex[:8]}.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    z.write(os.path.join(folder, name), os.path.relpath(os.path.join(folder, name), root))
+    context.addPyFile(path)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for what is written on the way: the one the session names in ``spark.checkpoint.dir``.
+
+    Only on one machine, where that is unset, as in tests, it is a temporary folder, which goes with the process.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
+    named = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="millrace-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
     if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="millrace-"))
+        context.setCheckpointDir(named)
+    return named
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write df once to the shared checkpoint folder and read it from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -44,6 +44,7 @@ class Sink:
             return writer.format("noop").start()
         if self.kind == "memory":
             return writer.format("memory").queryName(self.path).start()
+        writer = writer.option("header", "true")
         if self.kind == "partitioned_csv":
             return writer.format("csv").partitionBy("dt", "hm").start(self.path)
         return writer.format(self.kind).start(self.path)
@@ -64,4 +65,4 @@ def from_name(name: str, path: str | None = None) -> Sink:
 
 def with_log_partitions(df: DataFrame, time: str) -> DataFrame:
     """df with the day and minute of time as partition columns of a log."""
-    return df.withColumn("dt", F.date_format(time, "yyyy-MM-dd")).withColumn("hm", F.date_format(time, "HH-mm"))
+    return df.withColumn("dt", F.date_format(time, "yyyy-MM-dd")).withColumn("hm", F.date_format(time, "HH:mm"))

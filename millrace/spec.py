@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -62,7 +63,10 @@ def statements(script: str) -> list[str]:
     return [s.strip() for s in (*out, script[start:]) if s.strip()]
 
 
+_NODES = {"sort": r"Sort|TakeOrderedAndProject", "join": r"\w*Join|CartesianProduct", "aggregate": r"\w*Aggregate", "exchange": r"\w*Exchange", "window": r"Window"}
+
+
 def contains(plan: str, what: str) -> bool:
-    """Whether a plan text has a sort, join, aggregate, exchange or window."""
-    marks = {"sort": "Sort", "join": "Join", "aggregate": "Aggregate", "exchange": "Exchange", "window": "Window"}
-    return marks[what] in plan
+    """Whether a plan text has a sort, join, aggregate, exchange or window among its nodes."""
+    nodes = re.findall(r"^[\s:|+\-]*(?:\*?\(\d+\)\s*)?(\w+)", plan, re.M)
+    return any(re.fullmatch(_NODES[what], n) for n in nodes)

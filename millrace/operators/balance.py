@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.session import cut_lineage
 from millrace.session import tasks as shuffle_tasks
 
 
@@ -35,8 +36,8 @@ def _bucket(key: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
 
-def plan_layout(df: DataFrame, key: str, tasks: int | None = None, buckets_per_task: int = 16) -> Layout:
-    """Estimate loads and bin-pack them.
+def plan_layout(df: DataFrame, key: str, tasks: int | None = None, buckets_per_task: int = 16, load: str | None = None) -> Layout:
+    """Estimate loads and bin-pack them. A row's load is 1, or that of column load.
 
     Loads of hash buckets come first; within buckets above half a task's fair share, keys above half a share are
     told apart (there are at most 2 * tasks such keys, so what reaches the driver is bounded by the number of tasks,
@@ -45,7 +46,8 @@ def plan_layout(df: DataFrame, key: str, tasks: int | None = None, buckets_per_t
     """
     tasks = tasks or shuffle_tasks(df.sparkSession)
     buckets = tasks * buckets_per_task
-    counts = df.groupBy(F.when(F.col(key).isNotNull(), _bucket(F.col(key), buckets)).alias("b")).count().collect()
+    loads_of = (F.sum(load) if load else F.count("*")).alias("count")
+    counts = df.groupBy(F.when(F.col(key).isNotNull(), _bucket(F.col(key), buckets)).alias("b")).agg(loads_of).collect()
     total = sum(r["count"] for r in counts)
     weight = [0] * buckets
     for r in counts:
@@ -55,7 +57,7 @@ def plan_layout(df: DataFrame, key: str, tasks: int | None = None, buckets_per_t
     full = [b for b, w in enumerate(weight) if 2 * w > share]
     large: dict[int, int] = {}
     if full:
-        found = df.where(F.col(key).isNotNull() & _bucket(F.col(key), buckets).isin(full)).groupBy(key).count().where(F.col("count") * 2 > share)
+        found = df.where(F.col(key).isNotNull() & _bucket(F.col(key), buckets).isin(full)).groupBy(key).agg(loads_of).where(F.col("count") * 2 > share)
         for r in found.withColumn("b", _bucket(F.col(key), buckets)).collect():
             large[r[key]] = r["count"]
             weight[r["b"]] -= r["count"]
@@ -101,11 +103,26 @@ def replicate(df: DataFrame, key: str, layout: Layout) -> DataFrame:
     return told.withColumn("__task", F.explode(F.coalesce(F.array_distinct("__shards"), F.array("__place")))).drop("__k", "__shards", "__b", "__place")
 
 
-def balanced_counts(df: DataFrame, key: str, spread: list[str], tasks: int | None = None) -> tuple[Layout, DataFrame]:
-    """(key, n): rows of each key. Rows are combined per task and key before the shuffle, and shards of large keys at the end."""
-    layout = plan_layout(df, key, tasks)
-    parts = fragment(df.select(key, *(c for c in spread if c != key)), key, layout, spread).groupBy("__task", key).agg(F.count("*").alias("__n"))
-    return layout, parts.groupBy(key).agg(F.sum("__n").alias("n"))
+def partial_counts(df: DataFrame, keys: dict[str, str]) -> DataFrame:
+    """(field, key, part, n): how many rows of each part of df have each key, for several key columns (field -> column) at once.
+
+    df is read once, and a part is what one task reads, so a key comes at most once from each; the result is written once.
+    """
+    each = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(c).cast("long").alias("key")) for f, c in keys.items())))
+    told = df.select(F.spark_partition_id().alias("part"), each.alias("x")).select("x.field", "x.key", "part")
+    return cut_lineage(told.groupBy("field", "key", "part").agg(F.count("*").alias("n")))
+
+
+def balanced_counts(parts: DataFrame, tasks: int | None = None) -> tuple[int, DataFrame]:
+    """(all rows, (key, n)) of parts(key, part, n): rows of each key, a null key aside.
+
+    Parts go to the tasks that a layout of their loads names: large keys, which nearly every part has, are cut into shards, whose sums
+    are put together at the end.
+    """
+    total = parts.agg(F.sum("n")).first()[0] or 0
+    layout = plan_layout(parts, "key", tasks)
+    placed = fragment(parts.select("key", "part", "n"), "key", layout, ["part"]).repartitionById(layout.tasks, "__task")
+    return total, placed.groupBy("__task", "key").agg(F.sum("n").alias("n")).groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def balanced_join_totals(df: DataFrame, key: str, record: str, value: str | None, match: DataFrame, match_key: str, attributes: list[str], tasks: int | None = None) -> DataFrame:

@@ -110,15 +110,17 @@ WITH ranked AS (
 """
 
 
-_SKEWED = (("bid.auction", "bid", "auction", ["bid_id"]), ("bid.bidder", "bid", "bidder", ["bid_id"]), ("auction.seller", "auction", "seller", ["a_id"]))
+_SKEWED = (("bid", {"bid.auction": "auction", "bid.bidder": "bidder"}), ("auction", {"auction.seller": "seller"}))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     out = None
-    for field, name, key, spread in _SKEWED:
-        layout, counts = balance.balanced_counts(table(spark, d, name), key, spread)
-        heavy = counts.where(F.col("n") * 100 >= HEAVY_PERCENT * layout.total).select(F.lit(field).alias("field"), F.col(key).alias("key_value"))
-        out = heavy if out is None else out.unionByName(heavy)
+    for name, keys in _SKEWED:
+        parts = balance.partial_counts(table(spark, d, name), keys)
+        for field in keys:
+            total, counts = balance.balanced_counts(parts.where(F.col("field") == field))
+            heavy = counts.where(F.col("n") * 100 >= HEAVY_PERCENT * total).select(F.lit(field).alias("field"), F.col("key").alias("key_value"))
+            out = heavy if out is None else out.unionByName(heavy)
     return out
 
 
@@ -220,7 +222,7 @@ SQL = {
     "p3_found": _P3 + "SELECT delivery_id FROM ranked WHERE rn > 1",
     "p3_kept": _P3 + "SELECT delivery_id, batch_id, qid, seq_num, seq_len, shuffle_id, row_count, body_crc FROM ranked WHERE rn = 1",
     "p4_found": " UNION ALL ".join(
-        f"SELECT '{f}' AS field, {k} AS key_value FROM {t} WHERE {k} IS NOT NULL GROUP BY {k} HAVING count(*) * 100 >= {HEAVY_PERCENT} * (SELECT count(*) FROM {t})" for f, t, k, _ in _SKEWED
+        f"SELECT '{f}' AS field, {k} AS key_value FROM {t} WHERE {k} IS NOT NULL GROUP BY {k} HAVING count(*) * 100 >= {HEAVY_PERCENT} * (SELECT count(*) FROM {t})" for t, keys in _SKEWED for f, k in keys.items()
     ),
     "p4_auction_totals": _totals_sql("bid", "auction", "bid_id", "price", "auction", "a_id", ["seller", "category"]),
     "p4_bidder_totals": _totals_sql("bid", "bidder", "bid_id", "price", "person", "p_id", ["state"]),

@@ -116,12 +116,15 @@ def test_balanced_results_match_plain_ones(spark):
     rows = [(rng.choice([None, 1, 1, 1, 2, rng.randrange(40)]), i // 2, rng.choice([None, 5])) for i in range(2000)]
     rows = [(k, i, v) for k, i, v in rows]
     df = spark.createDataFrame(rows, "k bigint, id bigint, v bigint")
-    _, counts = balance.balanced_counts(df, "k", ["id"], tasks=5)
+    parts = balance.partial_counts(df.repartition(6), {"one": "k", "two": "v"})
+    total, counts = balance.balanced_counts(parts.where("field = 'one'"), tasks=5)
+    assert total == len(rows) and parts.groupBy("field", "key", "part").count().where("count > 1").count() == 0
+    assert {r["key"]: r["n"] for r in balance.balanced_counts(parts.where("field = 'two'"), tasks=5)[1].collect()} == {5: sum(v == 5 for _, _, v in rows)}
     want = {}
     for k, _, _ in rows:
         if k is not None:
             want[k] = want.get(k, 0) + 1
-    assert {r["k"]: r["n"] for r in counts.collect()} == want
+    assert {r["key"]: r["n"] for r in counts.collect()} == want
 
     match = spark.createDataFrame([(1, "a"), (1, "a"), (2, None), (3, "c"), (None, "z")], "m bigint, total string")
     got = balance.balanced_join_totals(df, "k", "id", "v", match.withColumnRenamed("total", "name"), "m", ["name"], tasks=5)
@@ -138,7 +141,8 @@ def test_balanced_results_match_plain_ones(spark):
 
 def test_balanced_results_of_empty_tables(spark):
     df = spark.createDataFrame([], "k bigint, id bigint, v bigint")
-    assert balance.balanced_counts(df, "k", ["id"])[1].count() == 0
+    total, counts = balance.balanced_counts(balance.partial_counts(df, {"k": "k"}))
+    assert (total, counts.count()) == (0, 0)
     assert balance.balanced_join_totals(df, "k", "id", "v", df.select(F.col("k").alias("m"), "v").withColumnRenamed("v", "w"), "m", ["w"]).count() == 0
 
 
@@ -199,8 +203,30 @@ def test_one_tree_serves_every_threshold(spark):
     for gap in (0, 1, 2, 5, 17, 100, 999, 10**6):
         got = sorted((r["entity"], r["start_ms"], r["end_ms"], r["events"]) for r in sessions.cut(tree, gap).collect())
         assert got == _sessions(rows, gap), gap
-    few = sessions.gap_tree(df, cuts=[5, 100])
-    assert sorted((r["entity"], r["start_ms"], r["end_ms"], r["events"]) for r in sessions.cut(few, 5).collect()) == _sessions(rows, 5)
+    whole = {tuple(r) for r in tree.collect()}
+    for cuts in ([5, 100], [100], [0, 1, 17, 999, 10**6], [10**9]):
+        few = sessions.gap_tree(df, cuts=cuts).cache()
+        for gap in cuts:
+            assert sorted((r["entity"], r["start_ms"], r["end_ms"], r["events"]) for r in sessions.cut(few, gap).collect()) == _sessions(rows, gap), (cuts, gap)
+        found = [tuple(r) for r in few.collect()]
+        assert len(found) == len(set(found)) and set(found) <= whole
+
+
+def test_one_entity_over_many_partitions(spark):
+    rng = random.Random(4)
+    for spread in (5, 300):
+        rows = [(1, t, i) for i, t in enumerate(sorted(rng.choices(range(spread * 400), k=1500)))]
+        df = spark.createDataFrame(rows, "entity bigint, ms bigint, record bigint").repartition(3)
+        for cuts in ([3], [0, 40, 200], [2, 700]):
+            tree = sessions.gap_tree(df, cuts=cuts).cache()
+            for gap in cuts:
+                assert sorted((r["entity"], r["start_ms"], r["end_ms"], r["events"]) for r in sessions.cut(tree, gap).collect()) == _sessions(rows, gap)
+
+
+def test_chains_for_one_threshold_have_three_runs(spark):
+    rows = [(1, t * t, t) for t in range(4000)]
+    part = sessions._Part(iter([sessions.pa.RecordBatch.from_arrays([sessions.pa.array(c, sessions.pa.int64()) for c in zip(*rows, strict=True)], names=["e", "t", "r"])]), [600])
+    assert len(part.ends) <= 2
 
 
 def test_sessions_of_few_events(spark):

@@ -40,7 +40,8 @@ class _Fold:
             right, left = runs.pop(), runs[-1]
             emit(left, inner)
             emit(right, inner)
-            runs[-1] = [inner, left[1], right[2], left[3] + right[3]]
+            # chains for given thresholds may hold larger gaps than lie between them
+            runs[-1] = [max(inner, left[0], right[0]), left[1], right[2], left[3] + right[3]]
 
     def add(self, run: list[int]) -> None:
         runs = self.runs
@@ -144,6 +145,91 @@ def _open_chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[c.split()[0] for c in _CHAIN.split(", ")])
 
 
+class _Part:
+    """The sorted events of a partition without copies, as arrays. Gap i lies between events i and i + 1; between entities it is _INF.
+
+    ends: the gaps at which the open chains of the first and the last entity are cut, for the given thresholds.
+    """
+
+    def __init__(self, batches: Iterator[pa.RecordBatch], cuts: Sequence[int]) -> None:
+        held = list(_distinct(batches))
+        self.entity = np.concatenate([e for e, _ in held]) if held else np.zeros(0, np.int64)
+        self.ms = np.concatenate([t for _, t in held]) if held else np.zeros(0, np.int64)
+        self.cuts = sorted(set(cuts))
+        e, n = self.entity, len(self.entity)
+        self.gap = np.where(e[1:] == e[:-1], self.ms[1:] - self.ms[:-1], _INF)
+        # the first entity's events end before head, the last one's begin at tail
+        self.head = int(np.searchsorted(e, e[0], "right")) if n else 0
+        self.tail = int(np.searchsorted(e, e[-1], "left")) if n else 0
+        ends = []
+        if n:
+            ends.append(self._records(self.gap[: self.head - 1], 0))
+            ends.append(n - 2 - self._records(self.gap[self.tail :][::-1], 0))
+        self.ends = np.unique(np.concatenate(ends)) if ends else np.zeros(0, np.int64)
+
+    def _records(self, gaps: np.ndarray, at: int) -> np.ndarray:
+        """Gaps larger than all before them, from the least threshold on up to the first beyond the largest."""
+        if not len(gaps) or not self.cuts:
+            return np.zeros(0, np.int64)
+        most = np.maximum.accumulate(gaps)
+        fresh = np.append(True, most[1:] > most[:-1]) & (gaps > self.cuts[0])
+        beyond = int(np.searchsorted(most, self.cuts[-1], "right"))
+        return np.flatnonzero(fresh[: beyond + 1]) + at
+
+    def runs(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Columns (entity, gap inside, start, end, events) of the runs from events first to last."""
+        inner = np.full(len(first), -1, np.int64)
+        long = np.flatnonzero(last > first)
+        if len(long):
+            # reduceat takes pairs (from, to) of gaps; every second result lies between runs
+            bounds = np.stack([first[long], last[long]], axis=1).ravel()
+            inner[long] = np.maximum.reduceat(np.append(self.gap, -1), bounds)[::2]
+        return np.stack([self.entity[first], inner, self.ms[first], self.ms[last], last - first + 1])
+
+
+def _cut_nodes(cuts: Sequence[int]) -> Callable:
+    """First step for given thresholds: the sessions that are final within a partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, before = _Part(batches, cuts), -2
+        n = len(part.ms)
+        in_chain = np.zeros(n + 1, bool)
+        in_chain[part.ends] = True
+        # a chain also ends where its entity does
+        closed = np.zeros(n + 1, bool)
+        if n:
+            closed[[part.head - 1, part.tail - 1]] = True
+        for c in part.cuts:
+            edge = np.flatnonzero(part.gap > c)
+            first, last = edge[:-1] + 1, edge[1:]  # neither the run that begins nor the one that ends the partition
+            left, right = part.gap[edge[:-1]], part.gap[edge[1:]]
+            rows = part.runs(first, last)
+            mine = (last < part.head) | (first >= part.tail)
+            chain = mine & (in_chain | closed)[edge[:-1]] & (in_chain | closed)[edge[1:]]
+            ok = ~chain & (rows[1] > before)
+            yield pa.RecordBatch.from_arrays([pa.array(x[ok]) for x in (rows[0], rows[1], np.minimum(left, right), rows[2], rows[3], rows[4])], names=[x.split()[0] for x in _TREE.split(", ")])
+            before = c
+
+    return run
+
+
+def _cut_chains(cuts: Sequence[int]) -> Callable:
+    """First step for given thresholds: the open chains of a partition's first and last entity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = _Part(batches, cuts)
+        n = len(part.ms)
+        if not n:
+            return
+        spans = [(0, part.head)] if part.tail == 0 else [(0, part.head), (part.tail, n)]
+        for low, high in spans:
+            inside = part.ends[(part.ends >= low) & (part.ends < high - 1)]
+            first, last = np.append(low, inside + 1), np.append(inside, high - 1)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in part.runs(first, last)], names=[x.split()[0] for x in _CHAIN.split(", ")])
+
+    return run
+
+
 def _joined_chains(cuts: Sequence[int] | None) -> Callable:
     """Second step: chains sorted by (entity, start, end) folded to the end."""
 
@@ -173,12 +259,12 @@ def gap_tree(events: DataFrame, cuts: Sequence[int] | None = None) -> DataFrame:
     entity or time are left out; other columns are ignored; an empty table gives an empty tree. An only event has
     the single node (gap -1, parent_gap 2**62). Events at one time are 0 ms apart.
 
-    With cuts, only nodes that are sessions for one of these thresholds are kept, which spares writing the rest.
+    With cuts, only nodes that are sessions for one of these thresholds are made.
     """
     rows = events.where("entity IS NOT NULL AND ms IS NOT NULL").select("entity", "ms", F.coalesce("record", F.lit(-_INF)).alias("record"))
     ordered = rows.repartitionByRange("entity", "ms", "record").sortWithinPartitions("entity", "ms", "record")
-    inside = ordered.mapInArrow(_closed_nodes(cuts), _TREE)
-    chains = ordered.mapInArrow(_open_chains, _CHAIN).repartition("entity").sortWithinPartitions("entity", "start_ms", "end_ms")
+    inside = ordered.mapInArrow(_closed_nodes(None) if cuts is None else _cut_nodes(cuts), _TREE)
+    chains = ordered.mapInArrow(_open_chains if cuts is None else _cut_chains(cuts), _CHAIN).repartition("entity").sortWithinPartitions("entity", "start_ms", "end_ms")
     return inside.unionByName(chains.mapInArrow(_joined_chains(cuts), _TREE))
 
 

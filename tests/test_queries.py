@@ -3,9 +3,9 @@
 import oracle
 import pytest
 
-from millrace.plans import auctions, generated, records, relational, tpch
+from millrace.plans import auctions, flows, generated, records, relational, tpch
 
-CASES = [(s, n) for s in (records, auctions, tpch, relational, generated) for n in s.SQL]
+CASES = [(s, n) for s in (records, auctions, tpch, relational, flows, generated) for n in s.SQL]
 
 
 @pytest.fixture(scope="module")
@@ -20,5 +20,5 @@ def test_same_rows(spark, con, suite, name):
 
 
 def test_every_query_has_sql():
-    for suite in (records, auctions, tpch, relational, generated):
+    for suite in (records, auctions, tpch, relational, flows, generated):
         assert set(suite.QUERIES) == set(suite.SQL)

@@ -261,6 +261,28 @@ def test_anchored_windows_begin_at_their_first_event(spark):
     assert sorted(tuple(r) for r in windows.anchored_windows(df, "k", "ms", 10, drop_open=32).collect()) == got[:2] + got[3:]
 
 
+def _anchored(rows, size):
+    out = {}
+    for k in {r[0] for r in rows}:
+        start = None
+        for t in sorted(r[1] for r in rows if r[0] == k):
+            if start is None or t > start + size:
+                start = t
+            last, n = out.get((k, start), (t, 0))
+            out[k, start] = (max(last, t), n + 1)
+    return {(k, a, last, n) for (k, a), (last, n) in out.items()}
+
+
+def test_anchored_windows_of_a_hot_key(spark):
+    rng = random.Random(8)
+    for size, span, hot in ((10, 3000, 0.9), (100, 1500, 1.0), (3, 40_000, 0.6), (5000, 3000, 0.9), (7, 200_000, 0.95)):
+        rows = [(1 if rng.random() < hot else rng.randrange(60), rng.randrange(span)) for _ in range(3000)]
+        df = spark.createDataFrame(rows, "k bigint, ms bigint").repartition(5)
+        got = [tuple(r) for r in windows.anchored_windows(df, "k", "ms", size).collect()]
+        assert len(got) == len(set(got)) and set(got) == _anchored(rows, size), size
+    assert windows.anchored_windows(df.limit(0), "k", "ms", 10).count() == 0
+
+
 def test_row_windows_number_across_partitions(spark):
     df = spark.range(103).withColumn("__x", F.lit(1)).repartition(5)
     got = {r[0]: r[1] for r in windows.row_windows(df, ["id"], 10).groupBy("window_number").count().collect()}

@@ -7,8 +7,8 @@ source's own share of tokens, and t is bisected to reach a target entropy, held
 
 A source's token budget becomes whole copies of all its documents and a rest. The rest is taken from a random
 permutation by blocks: documents fall into blocks by hash, blocks are taken in permuted order while they fit, and
-only the block in which the budget ends is put in order document by document. So the budget is met to within one
-document, and what reaches the driver is one number per source and block, however large the corpus.
+the block in which the budget ends is cut into blocks in the same way, until it has few documents, which are put in order. So the budget
+is met to within one document, and what reaches the driver at once is one number per source and block, however large the corpus.
 """
 
 from __future__ import annotations
@@ -30,6 +30,10 @@ from millrace.session import cut_lineage
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BLOCKS = 1024
+#: The most documents that are put in order in one task.
+LEAF = 50_000
+#: The most sources of a mix; each has BLOCKS numbers at the driver.
+MOST_SOURCES = 1000
 _PIECE = 1_000_000
 
 
@@ -156,35 +160,63 @@ def _filled(wanted: np.ndarray, limit: np.ndarray) -> np.ndarray:
         full |= over
 
 
-def realise(counted: DataFrame, mix: Mix, seed: int = 0) -> DataFrame:
+def _permuted(sizes: dict[int, tuple[int, int]], rest: int, rng: np.random.Generator) -> tuple[list[int], int | None, int]:
+    """(blocks taken whole, the block in which rest ends, what is left of rest there), of sizes block -> (tokens, documents), in permuted order."""
+    whole = []
+    for b in rng.permutation(sorted(sizes)).tolist():
+        if rest <= 0:
+            break
+        if sizes[b][0] > rest:
+            return whole, b, rest
+        whole.append(b)
+        rest -= sizes[b][0]
+    return whole, None, 0
+
+
+def realise(counted: DataFrame, mix: Mix, seed: int = 0, leaf: int = LEAF) -> DataFrame:
     """(doc_id, source, tokens, copies) of the documents drawn, from counted(doc_id, source, tokens)."""
-    placed = counted.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(BLOCKS)).cast("int"))
-    sizes: dict[str, dict[int, int]] = {s: {} for s in mix.sources}
-    for row in placed.where(F.col("source").isin(mix.sources)).groupBy("source", "block").agg(F.sum("tokens").alias("n")).collect():
-        sizes[row["source"]][row["block"]] = row["n"]
-    plan = []
+    spark, bits = counted.sparkSession, BLOCKS.bit_length() - 1
+    h = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 1)
+    level_of = lambda n: F.shiftright(h, n * bits).bitwiseAND(F.lit(BLOCKS - 1).cast("long")).cast("int")
+    base, rest = {}, {}
     for s in mix.sources:
-        if not mix.budgets[s]:
-            continue
-        whole, rest = divmod(mix.budgets[s], mix.tokens[s])
-        if whole >= mix.repeats[s]:
-            whole, rest = mix.repeats[s], 0
-        for b in np.random.default_rng([seed, len(plan)]).permutation(BLOCKS).tolist():
-            n = sizes[s].get(b, 0)
-            if n <= rest:
-                plan.append((s, b, whole + 1, None))
-                rest -= n
-            else:
-                plan.append((s, b, whole, rest if rest > 0 else None))
-                rest = 0
-    spark = counted.sparkSession
-    rows = spark.createDataFrame(plan, "source string, block int, copies int, cut bigint")
-    joined = placed.join(F.broadcast(rows), ["source", "block"])
-    running = F.sum("tokens").over(Window.partitionBy("source", "block").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    last = joined.where("cut IS NOT NULL").withColumn("running", running)
-    # the document on the edge is taken if more than half of it fits
-    last = last.withColumn("copies", F.col("copies") + (2 * F.col("running") - F.col("tokens") <= 2 * F.col("cut")).cast("int")).drop("running")
-    return joined.where("cut IS NULL").unionByName(last).where("copies > 0").select("doc_id", "source", "tokens", "copies")
+        if mix.budgets[s]:
+            base[s], rest[s] = divmod(mix.budgets[s], mix.tokens[s])
+            if base[s] >= mix.repeats[s]:
+                base[s], rest[s] = mix.repeats[s], 0
+    schema = "source string, block int, copies int, cut bigint"
+    table = lambda rows: F.broadcast(spark.createDataFrame(rows, schema))
+    # documents still undecided, at first all of the sources drawn from; at each level all but those of one block a source are decided
+    open_ = counted.where(F.col("source").isin([s for s in base]))
+    out = None
+    for level in range(63 // bits):
+        placed = open_.withColumn("block", level_of(level))
+        sizes: dict[str, dict[int, tuple[int, int]]] = {s: {} for s in base}
+        for r in placed.groupBy("source", "block").agg(F.sum("tokens").alias("n"), F.count("*").alias("docs")).collect():
+            sizes[r["source"]][r["block"]] = (r["n"], r["docs"])
+        decided, ends, deeper = [], [], []
+        for k, s in enumerate(base):
+            if not sizes[s]:
+                continue
+            whole, end, left = _permuted(sizes[s], rest[s], np.random.default_rng([seed, level, k]))
+            taken = set(whole)
+            decided += [(s, b, base[s] + (b in taken), None) for b in sizes[s] if b != end]
+            if end is not None:
+                last = sizes[s][end][1] <= leaf or level + 1 == 63 // bits
+                (ends if last else deeper).append((s, end, base[s], left))
+                rest[s] = left
+        part = placed.join(table(decided), ["source", "block"]).drop("cut", "block")
+        if ends:
+            running = F.sum("tokens").over(Window.partitionBy("source").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+            edge = placed.join(table(ends), ["source", "block"]).withColumn("running", running)
+            # the document on the edge is taken if more than half of it fits
+            edge = edge.withColumn("copies", F.col("copies") + (2 * F.col("running") - F.col("tokens") <= 2 * F.col("cut")).cast("int"))
+            part = part.unionByName(edge.drop("cut", "block", "running"))
+        out = part if out is None else out.unionByName(part)
+        if not deeper:
+            break
+        open_ = placed.join(table(deeper), ["source", "block"]).drop("block", "copies", "cut")
+    return out.where("copies > 0").select("doc_id", "source", "tokens", "copies")
 
 
 def mixed(documents: DataFrame, targets: DataFrame, budget: int | None = None, tokenizer: str = TOKENIZER, seed: int = 0, towards_targets: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -198,10 +230,13 @@ def mixed(documents: DataFrame, targets: DataFrame, budget: int | None = None, t
     Source names agree ignoring case, surrounding blanks, and hyphens for underscores; of a source listed twice the larger weight counts.
     Each row of documents is a document: repeated rows are drawn alike. Tokens are counted once and written.
     """
+    listed = _listed(targets).limit(MOST_SOURCES + 1).collect()
+    if len(listed) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources to mix")
     counted = cut_lineage(token_counts(documents, tokenizer))
-    totals = {r["source"]: (r["n"], r["docs"]) for r in counted.groupBy("source").agg(F.sum("tokens").alias("n"), F.count("*").alias("docs")).join(F.broadcast(_listed(targets)), "source", "left_semi").collect()}
+    totals = {r["source"]: (r["n"], r["docs"]) for r in counted.groupBy("source").agg(F.sum("tokens").alias("n"), F.count("*").alias("docs")).where(F.col("source").isin([r["source"] for r in listed])).collect()}
     wanted, repeats = {}, {}
-    for r in _listed(targets).collect():
+    for r in listed:
         wanted[r["source"]], repeats[r["source"]] = float(r["weight"]), int(r["max_repeats"])
     tokens = {s: n for s, (n, _) in totals.items()}
     if towards_targets:

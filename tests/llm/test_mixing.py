@@ -78,3 +78,21 @@ def test_long_texts_are_counted_whole():
         assert mixing.load_tokenizer(mixing.TOKENIZER)(text) == count(text)
     finally:
         mixing._PIECE = old
+
+
+def test_cut_blocks_are_cut_again(spark):
+    counted = spark.range(20_000).selectExpr("id AS doc_id", "IF(id % 4 = 0, 'a', 'b') AS source", "id % 7 + 1 AS tokens").cache()
+    tokens = {r["source"]: r["n"] for r in counted.groupBy("source").agg({"tokens": "sum"}).toDF("source", "n").collect()}
+    mix = mixing.solve(tokens, {"a": 0.5, "b": 0.5}, {"a": 3, "b": 3}, budget=30_000)
+    for leaf in (mixing.LEAF, 3, 1):
+        rows = mixing.realise(counted, mix, seed=4, leaf=leaf).collect()
+        assert len({r["doc_id"] for r in rows}) == len(rows)
+        for s in "ab":
+            assert abs(sum(r["tokens"] * r["copies"] for r in rows if r["source"] == s) - mix.budgets[s]) <= 7
+            assert {r["copies"] for r in rows if r["source"] == s} <= {mix.budgets[s] // tokens[s], mix.budgets[s] // tokens[s] + 1}
+
+
+def test_too_many_sources(spark):
+    targets = spark.range(mixing.MOST_SOURCES + 5).selectExpr("concat('s', id) AS source", "0.001D AS weight", "1 AS max_repeats")
+    with pytest.raises(ValueError, match="sources"):
+        mixing.mixed(_documents(spark), targets)

@@ -6,8 +6,14 @@ import argparse
 import sys
 import time
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from millrace.config import Config
+from millrace.errors import engine_error
+from millrace.functions.times import millis
+from millrace.operators import windows
 from millrace.plans import auctions, relational, tpch
 from millrace.plans.dialect import SECONDS, SPARK, register_tables, render
 from millrace.runner import run_batch, timed
@@ -29,13 +35,25 @@ def _show(spark: SparkSession, spec: QuerySpec, limit: int) -> None:
         df.show(limit, truncate=False)
 
 
-def _nexmark_text(number: str) -> str:
+def query_text(number: str) -> str:
+    """The SQL text of a query of the auction suite."""
     names = [n for n in (f"nexmark_q{number}", f"nexmark_q{number}_aligned") if n in auctions.TEXTS]
     if not names:
         raise SystemExit(f"no SQL text for q{number}; have {sorted(auctions.TEXTS)}")
     return render(auctions.TEXTS[names[0]], SECONDS)
 
 
+def _timed(time: str):
+    return lambda spark: spark.table("bid").select("bid_id", "bidder", millis(F.col(time)).alias("ms"))
+
+
+#: Queries whose windows SQL doesn't have: sessions, and windows from each bidder's first arrival.
+_OPERATORS = {
+    "11": lambda spark: windows.session_windows(_timed("b_date_time")(spark), "bidder", "ms", "bid_id", SECONDS.size),
+    "12": lambda spark: windows.anchored_windows(_timed("p_time")(spark), "bidder", "ms", SECONDS.size),
+}
+
+
 def _streams(args: argparse.Namespace) -> generators.Stream:
     return generators.Stream(seconds=args.seconds, events_per_second=args.events_per_second * args.generators, out_of_order_group=args.out_of_order, shape=args.shape)
 
@@ -43,7 +61,7 @@ def _streams(args: argparse.Namespace) -> generators.Stream:
 def nexmark(spark: SparkSession, args: argparse.Namespace) -> None:
     tables: dict[str, DataFrame] = generators.nexmark(spark, _streams(args))
     tables["part"] = spark.range(1000, 2000).selectExpr("id AS p_partkey", "CAST(id % 50 AS INT) AS p_size")
-    spec = QuerySpec(f"nexmark q{args.query}", _nexmark_text(args.query), tables, sink=_sink(args))
+    spec = QuerySpec(f"nexmark q{args.query}", _OPERATORS.get(args.query) or query_text(args.query), tables, sink=_sink(args))
     if spec.sink.kind == "partitioned_csv":
         text = spec.body
         spec = QuerySpec(spec.name, lambda s: with_log_partitions(s.sql(text).drop("dt", "hm"), "b_date_time"), tables, sink=spec.sink)
@@ -79,8 +97,9 @@ def sql(spark: SparkSession, args: argparse.Namespace) -> None:
         for text in statements(held):
             try:
                 spark.sql(text).show(args.show, truncate=False)
-            except Exception as e:
-                print(f"error: {str(e).splitlines()[0]}")
+            except PySparkException as e:
+                failed = engine_error(e)
+                print(f"error: {failed} ({failed.kind})")
         held = ""
 
 
@@ -103,8 +122,10 @@ def main(argv: list[str] | None = None) -> None:
         p.add_argument("--times", type=int, default=10)
         p.add_argument("--show", type=int, default=20)
         p.add_argument("--cores", default="*")
+        p.add_argument("--config", help="a file whose section [spark] holds settings of the session")
     args = top.parse_args(argv)
-    args.run(local_session(args.cores), args)
+    settings = Config.load(args.config).section("spark") if args.config else {}
+    args.run(local_session(args.cores, **settings), args)
 
 
 if __name__ == "__main__":

@@ -121,9 +121,16 @@ def render(text: Text, dialect: Dialect) -> str:
     return text if isinstance(text, str) else text(dialect)
 
 
+def relations(spark: SparkSession, text: str) -> list[str]:
+    """The relations that a query reads, in any part of it, by its parsed plan; its own named steps are none."""
+    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text).toString()
+    return sorted({name.split(",")[0].strip() for name in re.findall(r"UnresolvedRelation \[([^\]]+)\]", plan)})
+
+
 def register_tables(spark: SparkSession, folder: str, text: str | None = None) -> None:
-    """Views over the tables of a data folder, or only over those that text names."""
-    for name in TABLES if text is None else [t for t in TABLES if re.search(rf"\b{t}\b", text)]:
+    """Views over the tables of a data folder, or only over those that text reads."""
+    read = None if text is None else set(relations(spark, text))
+    for name in [t for t in TABLES if read is None or t in read]:
         if os.path.isdir(folder) and exists(folder, name) or "://" in folder:
             table(spark, folder, name).createOrReplaceTempView(name)
 

@@ -5,7 +5,8 @@ word; words without a bit are not stored. References form one word per key range
 range, the short list of periods in which bits are born or go: the OR of the births before a period without the
 removals up to it is the parents' word of that period, so an unchanged word costs nothing however many periods it
 spans. A bit of ``references & ~parents`` survives unless its parent stood through the whole period; the
-survivors are decoded and only they are held against exact times.
+survivors are decoded, and only their references are read again, with exact times. So what is shuffled are words, combined where
+they are read, and the survivors.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from millrace.functions.times import DAY_MS, HOUR_MS, floor_div
 from millrace.session import cut_lineage
 
 _ALWAYS = -(2**62)
+#: The most survivors that go to every task.
+MOST_BROADCAST = 200_000
 
 
 def dictionary(ids: DataFrame) -> DataFrame:
@@ -48,23 +51,13 @@ def orphans(refs: DataFrame, parents: DataFrame, removals: DataFrame, period_ms:
     time are no case; a parent without a time always stood; a removal without a time only makes its key known.
     Repeated rows change nothing, and empty tables are allowed on every side. Other columns are ignored.
 
-    A hot key collapses to one row per period before the first shuffle, and a bitmap word has at most 64 keys, so
-    no task holds more than 64 rows per word and period. period_ms must divide a day.
+    A hot key collapses to one word per period before the first shuffle, and again to one row where its exact times are read.
+    Survivors are broadcast only if they are counted to be few, else joined. period_ms must divide a day.
     """
     if DAY_MS % period_ms:
         raise ValueError("period_ms must divide a day")
-    seen = (
-        refs.where("key IS NOT NULL AND t_ms IS NOT NULL")
-        .select("rel", "key", "t_ms", floor_div(F.col("t_ms"), period_ms).alias("period"))
-        .groupBy("rel", "key", "period")
-        .agg(F.min("t_ms").alias("first_ms"), F.max("t_ms").alias("last_ms"))
-    )
-    words = (
-        _word_and_bit(seen)
-        .repartition("rel", "word")
-        .groupBy("rel", "word", "period")
-        .agg(F.expr("bit_or(shiftleft(1L, bit))").alias("refs"), F.collect_list(F.struct("bit", "first_ms", "last_ms")).alias("times"))
-    )
+    mine = refs.where("key IS NOT NULL AND t_ms IS NOT NULL").select("rel", "key", "t_ms", floor_div(F.col("t_ms"), period_ms).alias("period"))
+    words = _word_and_bit(mine).groupBy("rel", "word", "period").agg(F.bit_or(_mask()).alias("refs"))
     known = (
         parents.where("key IS NOT NULL")
         .select("rel", "key", F.col("born_ms").alias("born_ms"), F.lit(None).cast("long").alias("gone_ms"))
@@ -72,9 +65,10 @@ def orphans(refs: DataFrame, parents: DataFrame, removals: DataFrame, period_ms:
         .groupBy("rel", "key")
         .agg(F.coalesce(F.min("born_ms"), F.lit(_ALWAYS)).alias("born_ms"), F.min("gone_ms").alias("gone_ms"))
     )
-    known = _word_and_bit(known).repartition("rel", "word")
     changes = (
-        known.select(
+        _word_and_bit(known)
+        .repartition("rel", "word")
+        .select(
             "rel",
             "word",
             F.explode(
@@ -91,14 +85,21 @@ def orphans(refs: DataFrame, parents: DataFrame, removals: DataFrame, period_ms:
         .agg(F.collect_list(F.struct("at", "born", "gone")).alias("changes"))
     )
     standing = "aggregate(changes, 0L, (a, c) -> a | if(c.at < period, c.born, 0L)) & ~aggregate(changes, 0L, (a, c) -> a | if(c.at <= period, c.gone, 0L))"
+    bits = "filter(sequence(0, 63), x -> (left_over & shiftleft(1L, x)) != 0)"
     surviving = (
         words.join(changes, ["rel", "word"], "left")
         .withColumn("left_over", F.expr(f"refs & ~coalesce({standing}, 0L)"))
         .where("left_over != 0")
-        .select("rel", "word", "period", F.explode(F.expr("filter(times, x -> (left_over & shiftleft(1L, x.bit)) != 0)")).alias("x"))
-        .select("rel", "word", "period", "x.*")
+        .select("rel", "word", "period", F.explode(F.expr(bits)).alias("bit"))
+        .select("rel", F.shiftleft("word", 6).bitwiseOR(F.col("bit").cast("long")).alias("key"), "period")
     )
-    exact = surviving.join(known.select("rel", "word", "bit", "born_ms", "gone_ms"), ["rel", "word", "bit"], "left")
+    surviving, at = cut_lineage(surviving), ["rel", "key", "period"]
+    spans = lambda df: df.groupBy(*at).agg(F.min("t_ms").alias("first_ms"), F.max("t_ms").alias("last_ms"))
+    if surviving.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
+        times = spans(mine.join(F.broadcast(surviving), at, "left_semi"))
+    else:
+        times = spans(mine).join(surviving, at, "left_semi")  # combined before they are shuffled
+    exact = times.join(known.select("rel", "key", "born_ms", "gone_ms"), ["rel", "key"], "left")
     kinds = F.array(
         F.when(F.col("born_ms").isNull(), "missing"),
         F.when(F.col("last_ms") >= F.col("gone_ms"), "deleted"),
@@ -107,7 +108,7 @@ def orphans(refs: DataFrame, parents: DataFrame, removals: DataFrame, period_ms:
     return (
         exact.select(
             "rel",
-            F.shiftleft("word", 6).bitwiseOR(F.col("bit").cast("long")).alias("key"),
+            "key",
             floor_div(F.col("period"), DAY_MS // period_ms).alias("day"),
             F.explode(kinds).alias("kind"),
         )

@@ -9,6 +9,7 @@ from millrace.catalog import table
 from millrace.functions.normal import bare_uuid, dashed_uuid, stripped
 from millrace.functions.times import HOUR_MS, day_text, floor_div, millis
 from millrace.operators import balance, deliveries, lateness, references, sessions
+from millrace.session import cut_lineage
 from millrace.sources.envelopes import json_bids
 
 LATENESS_MS = 30 * 60_000
@@ -21,7 +22,7 @@ _RELATIONS = {0: ("bid", "auction"), 1: ("auction", "seller"), 2: ("ad_event", "
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     bid, auction, person, ad, campaign, removal = (table(spark, d, t) for t in ("bid", "auction", "person", "ad_event", "campaign", "removal"))
     rel = lambda n: F.lit(n).alias("rel")
-    ads = (
+    ads = cut_lineage(  # written once, as it is both numbered and read twice
         ad.select(bare_uuid(F.col("ad_id")).alias("id"), millis(F.col("event_time")).alias("t_ms"))
         .where("id IS NOT NULL AND t_ms IS NOT NULL")
         .groupBy("id", floor_div(F.col("t_ms"), HOUR_MS).alias("hour"))

@@ -117,7 +117,7 @@ SELECT epoch, seller, round(avg(final), 4) AS avg_final FROM recent WHERE back <
     "nexmark_q10": _with(lambda x: f" SELECT bid_id, auction, bidder, price, b_date_time, {x.text('b_date_time', 'yyyy-MM-dd')} AS dt, {x.text('b_date_time', 'HH:mm')} AS hm FROM bids"),
     "nexmark_q12_aligned": _with(lambda x: f" SELECT bidder, window_start, count(*) AS bids FROM ({_tumbled(x, 'b_ms', 'bidder', 'bids')}) w WHERE bidder IS NOT NULL GROUP BY bidder, window_start", "bidder"),
     "nexmark_q13": _with(lambda x: " SELECT b.bid_id, b.auction, b.bidder, b.price, b.b_date_time, CAST(s.p_size AS BIGINT) AS value FROM bids b JOIN part s ON s.p_partkey = b.auction"),
-    "nexmark_q13_mod": _with(lambda x: " SELECT b.bid_id, b.auction, b.bidder, b.price, b.b_date_time, CAST(s.p_size AS BIGINT) AS value FROM bids b JOIN part s ON s.p_partkey = mod(b.auction, 1000)"),
+    "nexmark_q13_mod": _with(lambda x: " SELECT b.bid_id, b.auction, b.bidder, b.price, b.b_date_time, CAST(s.p_size AS BIGINT) AS value FROM bids b JOIN part s ON s.p_partkey = mod(b.auction, 10000)"),
     "ysb": _ads,
 }
 
@@ -192,6 +192,12 @@ def sw_anchored(spark: SparkSession, d: str) -> DataFrame:
     return windows.anchored_windows(_events(spark, d), "user_id", "ms", 24 * 3_600_000)
 
 
+def sw_anchored_drop_open(spark: SparkSession, d: str) -> DataFrame:
+    """Anchored windows that were over when the stream ended."""
+    e = _events(spark, d)
+    return windows.anchored_windows(e, "user_id", "ms", 24 * 3_600_000, drop_open=windows.bounds(e, "ms", EPOCH)[1])
+
+
 def sw_rows(spark: SparkSession, d: str) -> DataFrame:
     return windows.row_windows(_events(spark, d), ["ms", "event_id"], 1000).groupBy("window_number").agg(F.count("*").alias("n"), F.min("ms").alias("first_ms"), F.max("event_id").alias("max_id"))
 
@@ -203,8 +209,10 @@ _USER_SESSIONS = _E + f"""
     SELECT *, CASE WHEN ms - lag(ms) OVER (PARTITION BY user_id ORDER BY ms, event_id) <= {6 * EPOCH} THEN 0 ELSE 1 END AS fresh FROM e)) GROUP BY user_id, part)
 SELECT user_id, start_ms, end_ms, events FROM s"""
 
+_USER_WINDOWS = ANCHORED.replace("(SELECT DISTINCT bid_id, bidder, epoch_ms(b_date_time) AS ms FROM bid WHERE bidder IS NOT NULL AND b_date_time IS NOT NULL)", "(SELECT user_id, epoch_us(ts) // 1000 AS ms FROM events)").replace("bidder", "user_id").replace(f"+ {SIZE}", f"+ {24 * EPOCH}")
+
 QUERIES = {k: query(v) for k, v in TEXTS.items()} | {
-    f.__name__: f for f in (nexmark_q11, nexmark_q12, nexmark_q12_anchored, sw_elementwise, sw_tumbling, sw_hopping, sw_session, sw_session_drop_open, sw_anchored, sw_rows)
+    f.__name__: f for f in (nexmark_q11, nexmark_q12, nexmark_q12_anchored, sw_elementwise, sw_tumbling, sw_hopping, sw_session, sw_session_drop_open, sw_anchored, sw_anchored_drop_open, sw_rows)
 }
 
 SQL = {k: render(v, OTHER) for k, v in TEXTS.items()} | {
@@ -217,6 +225,7 @@ SQL = {k: render(v, OTHER) for k, v in TEXTS.items()} | {
 SELECT window_start, count(*) AS n, count(DISTINCT user_id) AS users FROM g JOIN e ON ms >= window_start AND ms < window_start + {7 * EPOCH} GROUP BY 1""",
     "sw_session": _USER_SESSIONS,
     "sw_session_drop_open": _USER_SESSIONS + f" WHERE end_ms + {6 * EPOCH} < (SELECT fin FROM b)",
-    "sw_anchored": ANCHORED.replace("(SELECT DISTINCT bid_id, bidder, epoch_ms(b_date_time) AS ms FROM bid WHERE bidder IS NOT NULL AND b_date_time IS NOT NULL)", "(SELECT user_id, epoch_us(ts) // 1000 AS ms FROM events)").replace("bidder", "user_id").replace(f"+ {SIZE}", f"+ {24 * EPOCH}"),
+    "sw_anchored_drop_open": _E + ", w AS (" + _USER_WINDOWS + f") SELECT * FROM w WHERE window_start + {24 * EPOCH} < (SELECT fin FROM b)",
+    "sw_anchored": _USER_WINDOWS,
     "sw_rows": _E + " SELECT (row_number - 1) // 1000 AS window_number, count(*) AS n, min(ms) AS first_ms, max(event_id) AS max_id FROM (SELECT *, row_number() OVER (ORDER BY ms, event_id) AS row_number FROM e) GROUP BY 1",
 }

@@ -11,14 +11,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace import catalog
+from millrace import catalog, runner
 from millrace.catalog import table
 from millrace.functions.times import HOUR_MS, millis
-from millrace.operators import lateness
+from millrace.operators import lateness, windows
+from millrace.plans import auctions
 from millrace.plans.auctions import ANCHORED, GAP, SIZE
 from millrace.session import scratch
-from millrace.sinks import Sink, with_log_partitions
+from millrace.sinks import Sink, from_name, with_log_partitions
 from millrace.sources import envelopes, files
+from millrace.spec import QuerySpec, contains
 from millrace.streaming import queries as streams
 
 LATENESS_MS = 30 * 60_000
@@ -136,6 +138,50 @@ def snk_log(spark: SparkSession, d: str) -> DataFrame:
     return read.groupBy("dt", "hm").agg(F.count("*").alias("n"), F.sum("price").alias("price"))
 
 
+def snk_q10(spark: SparkSession, d: str) -> DataFrame:
+    """The log that q10 keeps: its projection written by day and minute, and read back whole."""
+    sink = Sink("partitioned_csv", scratch(spark))
+    sink.write(auctions.QUERIES["nexmark_q10"](spark, d))
+    return spark.read.schema("bid_id bigint, auction bigint, bidder bigint, price bigint, b_date_time timestamp_ntz, dt string, hm string").csv(sink.path, header=True)
+
+
+# the interface
+
+
+def api_sql(spark: SparkSession, d: str) -> DataFrame:
+    """A specification of SQL with its table, run into a sink named by text."""
+    spec = QuerySpec("golden", "SELECT max(c1) AS high, min(c2) AS low, c3 FROM test_table WHERE c2 < 99 GROUP BY c3 ORDER BY c3", {"test_table": _golden(spark)}, sink=from_name("BlackHole"))
+    return runner.run_batch(spark, spec)
+
+
+def _golden(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(90, 92.1, "a"), (90, 93.2, "a"), (91, 95.3, "d"), (101, 96.4, "b"), (92, 98.5, "b"), (102, 99.6, "d"), (93, 100.7, "c"), (103, 101.8, "c")], "c1 bigint, c2 double, c3 string")
+
+
+def api_code(spark: SparkSession, d: str) -> DataFrame:
+    """A specification of DataFrame code, with a window its body assumes."""
+    spec = QuerySpec("code", lambda s: s.table("golden").where("c1 > 91").groupBy("c3").agg(F.count("*").alias("n")), {"golden": _golden(spark)}, windows.tumbling_window(10))
+    return spec.plan(spark)
+
+
+def api_plans(spark: SparkSession, d: str) -> DataFrame:
+    """What plans are told to contain."""
+    texts = {"scan": "SELECT * FROM golden", "grouped": "SELECT c3, count(*) AS n FROM golden GROUP BY c3", "sorted": "SELECT * FROM golden ORDER BY c1", "joined": "SELECT a.c1 FROM golden a JOIN golden b ON a.c1 = b.c1"}
+    kinds = ("sort", "join", "aggregate")
+    rows = [(k, *(contains(QuerySpec(k, t, {"golden": _golden(spark)}).plan(spark)._jdf.queryExecution().optimizedPlan().toString(), w) for w in kinds)) for k, t in texts.items()]
+    return spark.createDataFrame(rows, "text string, sort boolean, join boolean, aggregate boolean")
+
+
+def api_schemas(spark: SparkSession, d: str) -> DataFrame:
+    """Tables of the suites and how many columns they declare."""
+    return spark.createDataFrame([(suite, t, len(catalog.schema(t))) for suite, tables in catalog.SUITES.items() for t in tables], "suite string, relation string, columns bigint")
+
+
+def api_windows(spark: SparkSession, d: str) -> DataFrame:
+    made = [windows.element_wise_window(), windows.tumbling_window(10), windows.hopping_window(10, 5), windows.sliding_window(10, 5), windows.session_window(10), windows.global_window(10), windows.stagger_window(10), windows.row_window(10)]
+    return spark.createDataFrame([(i, w.kind, w.size, w.hop) for i, w in enumerate(made)], "n bigint, kind string, size bigint, hop bigint")
+
+
 # streams: all input there is, in one run; results that the watermark has closed
 
 
@@ -223,6 +269,15 @@ def _hourly(spark: SparkSession, d: str) -> DataFrame:
     return streams.tumbling_counts(_bids(spark, d), "b_date_time", "1 hour", "0 seconds", []).select("window_start", "n")
 
 
+def st_throttled(spark: SparkSession, d: str) -> DataFrame:
+    """A stream that starts a batch at fixed times."""
+    sink = Sink("parquet", scratch(spark))
+    query = sink.start(_bids(spark, d).select("bid_id", "price"), scratch(spark), every="200 milliseconds")
+    query.processAllAvailable()
+    query.stop()
+    return sink.read(spark)
+
+
 def st_complete(spark: SparkSession, d: str) -> DataFrame:
     """Complete mode: the last batch holds every window, closed or not."""
     told = _last_batch(spark, _hourly(spark, d), "complete")
@@ -253,8 +308,9 @@ QUERIES = {
     f.__name__: f
     for f in (
         src_memory, src_empty, src_delimited, src_csv, src_csv_inferred, src_json_lines, src_kinesis, src_kafka, src_kinesis_bids,
-        snk_blackhole, snk_memory, snk_log,
-        st_element_wise, st_tumbling, st_csv, st_session, st_interval_join, st_side_input, st_once, st_anchored, st_late_store, st_complete, st_update, st_late_drops,
+        snk_blackhole, snk_memory, snk_log, snk_q10,
+        st_element_wise, st_tumbling, st_csv, st_session, st_interval_join, st_side_input, st_once, st_anchored, st_late_store, st_throttled, st_complete, st_update, st_late_drops,
+        api_sql, api_code, api_plans, api_schemas, api_windows,
     )
 } | {f"snk_{kind}": _through(kind) for kind in ("parquet", "csv", "json", "orc")}
 
@@ -280,6 +336,15 @@ timed AS (SELECT sequence_number, CASE WHEN regexp_full_match(s, '-?[0-9]{1,18}'
 SELECT DISTINCT * FROM timed WHERE bid_ms IS NOT NULL""",
     "snk_blackhole": "SELECT CAST(NULL AS VARCHAR) AS nothing WHERE FALSE",
     "snk_log": "SELECT strftime(b_date_time, '%Y-%m-%d') AS dt, strftime(b_date_time, '%H:%M') AS hm, count(*) AS n, CAST(sum(price) AS BIGINT) AS price FROM (SELECT DISTINCT bid_id, auction, price, b_date_time FROM bid WHERE b_date_time IS NOT NULL) GROUP BY 1, 2",
+    "snk_q10": auctions.SQL["nexmark_q10"],
+    "api_sql": "SELECT * FROM (VALUES (90, 92.1::DOUBLE, 'a'), (101, 96.4, 'b'), (91, 95.3, 'd')) t(high, low, c3)",
+    "api_code": "SELECT * FROM (VALUES ('b', 2), ('d', 1), ('c', 2)) t(c3, n)",
+    "api_plans": "SELECT text, text = 'sorted' AS sort, text = 'joined' AS \"join\", text = 'grouped' AS aggregate FROM (VALUES ('scan'), ('grouped'), ('sorted'), ('joined')) t(text)",
+    "api_schemas": """SELECT * FROM (VALUES ('nexmark', 'person', 7), ('nexmark', 'auction', 9), ('nexmark', 'bid', 4), ('nexmark', 'side_input', 2), ('ysb', 'ad_event', 7), ('ysb', 'campaign', 2),
+  ('tpch', 'part', 9), ('tpch', 'supplier', 7), ('tpch', 'partsupp', 5), ('tpch', 'customer', 8), ('tpch', 'orders', 9), ('tpch', 'lineitem', 16), ('tpch', 'nation', 4), ('tpch', 'region', 3)) t(suite, relation, columns)""",
+    "api_windows": """SELECT * FROM (VALUES (0, 'element', 1000, NULL), (1, 'tumbling', 10000, NULL), (2, 'hopping', 10000, 5000), (3, 'hopping', 10000, 5000), (4, 'session', 10000, NULL),
+  (5, 'anchored', 10000, NULL), (6, 'anchored', 10000, NULL), (7, 'rows', 10, NULL)) t(n, kind, size, hop)""",
+    "st_throttled": "SELECT bid_id, price FROM bid WHERE b_date_time IS NOT NULL",
     "st_element_wise": _windows(1000, ", auction"),
     "st_tumbling": _windows(HOUR_MS, ", auction"),
     "st_csv": _windows(HOUR_MS, ", auction"),

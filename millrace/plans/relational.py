@@ -43,6 +43,10 @@ SELECT b.bid_id, a.a_id, a.category FROM a JOIN b ON b.auction = a.a_id AND b.b_
     "join_deduplicated": "SELECT p.o_custkey, p.o_orderstatus FROM (SELECT DISTINCT o_custkey, o_orderstatus FROM orders) p JOIN (SELECT DISTINCT c_custkey FROM customer WHERE c_acctbal > 5000) q ON q.c_custkey = p.o_custkey",
     "join_static_side": "SELECT e.event_id, n.n_name FROM events e JOIN nation n ON n.n_nationkey = e.user_id % 25",
     "join_comma": "SELECT c.c_custkey, n.n_name, r.r_name FROM customer c, nation n, region r WHERE n.n_nationkey = c.c_nationkey AND r.r_regionkey = n.n_regionkey",
+    "join_comma_many": """SELECT r.r_name, b.n_name AS seller_nation, p.p_brand, count(*) AS n, round(sum(l.l_extendedprice), 2) AS price
+FROM part p, supplier s, lineitem l, orders o, customer c, nation a, nation b, region r
+WHERE p.p_partkey = l.l_partkey AND s.s_suppkey = l.l_suppkey AND l.l_orderkey = o.o_orderkey AND o.o_custkey = c.c_custkey AND c.c_nationkey = a.n_nationkey AND a.n_regionkey = r.r_regionkey AND s.s_nationkey = b.n_nationkey AND p.p_size > 40
+GROUP BY r.r_name, b.n_name, p.p_brand""",
     "join_self": "SELECT a.n_name AS one, b.n_name AS two FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey",
     "join_left": "SELECT c.c_custkey, o.o_orderkey FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey AND o.o_totalprice > 400000",
     "join_right": "SELECT o.o_orderkey, c.c_custkey FROM (SELECT * FROM orders WHERE o_totalprice > 400000) o RIGHT JOIN customer c ON o.o_custkey = c.c_custkey",

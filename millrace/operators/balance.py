@@ -36,8 +36,8 @@ def _bucket(key: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
 
-def plan_layout(df: DataFrame, key: str, tasks: int | None = None, buckets_per_task: int = 16, load: str | None = None) -> Layout:
-    """Estimate loads and bin-pack them. A row's load is 1, or that of column load.
+def plan_layout(df: DataFrame, key: str, tasks: int | None = None, buckets_per_task: int = 16, rows: str | None = None) -> Layout:
+    """Estimate loads and bin-pack them. total counts df's rows, or, where a row stands for several, adds up column rows.
 
     Loads of hash buckets come first; within buckets above half a task's fair share, keys above half a share are
     told apart (there are at most 2 * tasks such keys, so what reaches the driver is bounded by the number of tasks,
@@ -46,9 +46,9 @@ def plan_layout(df: DataFrame, key: str, tasks: int | None = None, buckets_per_t
     """
     tasks = tasks or shuffle_tasks(df.sparkSession)
     buckets = tasks * buckets_per_task
-    loads_of = (F.sum(load) if load else F.count("*")).alias("count")
-    counts = df.groupBy(F.when(F.col(key).isNotNull(), _bucket(F.col(key), buckets)).alias("b")).agg(loads_of).collect()
-    total = sum(r["count"] for r in counts)
+    stands_for = (F.sum(rows) if rows else F.count("*")).alias("rows")
+    counts = df.groupBy(F.when(F.col(key).isNotNull(), _bucket(F.col(key), buckets)).alias("b")).agg(F.count("*").alias("count"), stands_for).collect()
+    total = sum(r["rows"] for r in counts)
     weight = [0] * buckets
     for r in counts:
         if r["b"] is not None:
@@ -57,7 +57,7 @@ def plan_layout(df: DataFrame, key: str, tasks: int | None = None, buckets_per_t
     full = [b for b, w in enumerate(weight) if 2 * w > share]
     large: dict[int, int] = {}
     if full:
-        found = df.where(F.col(key).isNotNull() & _bucket(F.col(key), buckets).isin(full)).groupBy(key).agg(loads_of).where(F.col("count") * 2 > share)
+        found = df.where(F.col(key).isNotNull() & _bucket(F.col(key), buckets).isin(full)).groupBy(key).agg(F.count("*").alias("count")).where(F.col("count") * 2 > share)
         for r in found.withColumn("b", _bucket(F.col(key), buckets)).collect():
             large[r[key]] = r["count"]
             weight[r["b"]] -= r["count"]
@@ -119,10 +119,9 @@ def balanced_counts(parts: DataFrame, tasks: int | None = None) -> tuple[int, Da
     Parts go to the tasks that a layout of their loads names: large keys, which nearly every part has, are cut into shards, whose sums
     are put together at the end.
     """
-    total = parts.agg(F.sum("n")).first()[0] or 0
-    layout = plan_layout(parts, "key", tasks)
+    layout = plan_layout(parts, "key", tasks, rows="n")
     placed = fragment(parts.select("key", "part", "n"), "key", layout, ["part"]).repartitionById(layout.tasks, "__task")
-    return total, placed.groupBy("__task", "key").agg(F.sum("n").alias("n")).groupBy("key").agg(F.sum("n").alias("n"))
+    return layout.total, placed.groupBy("__task", "key").agg(F.sum("n").alias("n")).groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def balanced_join_totals(df: DataFrame, key: str, record: str, value: str | None, match: DataFrame, match_key: str, attributes: list[str], tasks: int | None = None) -> DataFrame:

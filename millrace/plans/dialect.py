@@ -24,6 +24,9 @@ class Dialect:
     def ms(self, column: str) -> str:
         return f"unix_millis(CAST({column} AS TIMESTAMP))"
 
+    def us(self, column: str) -> str:
+        return f"unix_micros(CAST({column} AS TIMESTAMP))"
+
     def stamp(self, ms: str) -> str:
         return f"CAST(timestamp_millis({ms}) AS TIMESTAMP_NTZ)"
 
@@ -72,6 +75,9 @@ class Other(Dialect):
     def ms(self, column: str) -> str:
         return f"epoch_ms({column})"
 
+    def us(self, column: str) -> str:
+        return f"epoch_us({column})"
+
     def stamp(self, ms: str) -> str:
         return f"make_timestamp(({ms}) * 1000)"
 

@@ -102,9 +102,9 @@ GROUP BY r.r_name, b.n_name, p.p_brand""",
     "fn_date_format": lambda x: f"SELECT event_id, {x.text('ts', 'yyyy-MM-dd')} AS dt, {x.text('ts', 'HH:mm')} AS hm FROM events",
     "fn_string_date_compare": "SELECT o_orderkey FROM orders WHERE o_orderdate >= '1997-05-01' AND o_orderdate < '1997-06-01'",
     "fn_now": lambda x: f"SELECT event_id, ts < {x.now()} AS past, {x.now()} = {x.now()} AS steady FROM events",
-    "fn_tumble": lambda x: f"SELECT window_start, window_end, count(*) AS n FROM ({x.tumble('ts', 7)}) t GROUP BY window_start, window_end",
-    "fn_hop": lambda x: f"SELECT window_start, window_end, count(*) AS n FROM ({x.hop_windows('ts', 6, 2)}) t GROUP BY window_start, window_end",
-    "fn_session": lambda x: x.session("events", "user_id", "ts", 6),
+    "fn_tumble": lambda x: f"SELECT {x.us('window_start')} AS start_us, {x.us('window_end')} AS end_us, count(*) AS n FROM ({x.tumble('ts', 7)}) t GROUP BY window_start, window_end",
+    "fn_hop": lambda x: f"SELECT {x.us('window_start')} AS start_us, {x.us('window_end')} AS end_us, count(*) AS n FROM ({x.hop_windows('ts', 6, 2)}) t GROUP BY window_start, window_end",
+    "fn_session": lambda x: f"SELECT user_id, {x.us('session_start')} AS start_us, {x.us('session_end')} AS end_us, n FROM ({x.session('events', 'user_id', 'ts', 6)}) t",
     "fn_math_text": lambda x: f"SELECT p_partkey, round(sqrt(p_retailprice), 6) AS root, abs(p_size - 25) AS away, upper(p_brand) AS brand, length(p_name) AS size, {x.regex_replace('p_name', '[aeiou]')} AS bare FROM part",
     # the four micro operators
     "op_filter": "SELECT bid_id, auction, price FROM (SELECT DISTINCT bid_id, auction, price FROM bid) b WHERE auction % 123 = 0",

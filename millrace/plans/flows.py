@@ -134,7 +134,7 @@ def snk_log(spark: SparkSession, d: str) -> DataFrame:
     sink = Sink("partitioned_csv", scratch(spark))
     bids = table(spark, d, "bid").where("b_date_time IS NOT NULL").select("bid_id", "auction", "price", "b_date_time").distinct()
     sink.write(with_log_partitions(bids, "b_date_time"))
-    read = spark.read.schema("bid_id bigint, auction bigint, price bigint, b_date_time timestamp_ntz, dt string, hm string").csv(sink.path, header=True)
+    read = sink.read(spark, "bid_id bigint, auction bigint, price bigint, b_date_time timestamp_ntz, dt string, hm string")
     return read.groupBy("dt", "hm").agg(F.count("*").alias("n"), F.sum("price").alias("price"))
 
 

@@ -142,7 +142,7 @@ def snk_q10(spark: SparkSession, d: str) -> DataFrame:
     """The log that q10 keeps: its projection written by day and minute, and read back whole."""
     sink = Sink("partitioned_csv", scratch(spark))
     sink.write(auctions.QUERIES["nexmark_q10"](spark, d))
-    return spark.read.schema("bid_id bigint, auction bigint, bidder bigint, price bigint, b_date_time timestamp_ntz, dt string, hm string").csv(sink.path, header=True)
+    return sink.read(spark, "bid_id bigint, auction bigint, bidder bigint, price bigint, b_date_time timestamp_ntz, dt string, hm string")
 
 
 # the interface

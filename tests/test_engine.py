@@ -12,6 +12,7 @@ from millrace import catalog, runner
 from millrace.functions.normal import bare_uuid, dashed_uuid, label, source_name
 from millrace.functions.times import floor_div, millis
 from millrace.operators import lateness, sessions, windows
+from millrace.plans import auctions, flows
 from millrace.sinks import Sink, from_name, with_log_partitions
 from millrace.sources import envelopes, files, generators
 from millrace.spec import QuerySpec, contains, statements
@@ -200,6 +201,16 @@ def test_log_has_a_file_for_each_minute(spark, tmp_path):
         assert sorted(log.read(spark).select("auction", "bidder", "price").collect()) == sorted(rows.select("auction", "bidder", "price").collect())
 
 
+def test_log_of_q10_is_read_by_few_tasks(spark, tmp_path):
+    for name in ("bid", "auction", "person"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").limit(100).write.parquet(str(tmp_path / f"{name}.parquet"))
+    listing = spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism")
+    read = flows.snk_q10(spark, str(tmp_path))
+    assert len(read.inputFiles()) > 50 and read.rdd.getNumPartitions() <= 4
+    assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == listing
+    assert sorted(map(str, read.collect())) == sorted(map(str, auctions.QUERIES["nexmark_q10"](spark, str(tmp_path)).collect()))
+
+
 # streams: files of a bounded stream in time order, run through, equal the batch result as far as the watermark has come
 
 
